@@ -2,9 +2,35 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexiloom.llm import boilerplate, markup
+from lexiloom.runtime import table
+
+WIKI = "wiki_kdrama_final1_parquet"
+MARKUP_FIELDS = ("synopsis", "starring", "budget")
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """The sorts of markup elements in each text of a record."""
+    return markup.elements(table(spark, root, WIKI), "rec_id", MARKUP_FIELDS)
+
+
+def p4_clean(spark: SparkSession, root: str) -> DataFrame:
+    """Clean texts with headings, lists, code and formulas still told apart."""
+    long = table(spark, root, WIKI).select("rec_id", F.explode(F.array(*[
+        F.struct(F.lit(f).alias("field"), F.col(f).alias("raw")) for f in MARKUP_FIELDS])).alias("f"))
+    return long.where(F.col("f.raw").rlike(r"\S")).select("rec_id", "f.field", markup.clean(F.col("f.raw")).alias("text"))
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of page texts that are not part of the article."""
+    return boilerplate.frame_lines(table(spark, root, "data_extracted"))
+
 
 def queries() -> dict:
-    return {}
+    return {"p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
