@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import boilerplate, markup
+from lexiloom.llm import boilerplate, bpe, markup, token_budget
 from lexiloom.runtime import table
 
 WIKI = "wiki_kdrama_final1_parquet"
@@ -29,8 +29,27 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return boilerplate.frame_lines(table(spark, root, "data_extracted"))
 
 
+def _document_tokens(spark: SparkSession, root: str) -> DataFrame:
+    return token_budget.document_tokens(table(spark, root, "documents"), table(spark, root, "docs"), table(spark, root, "sites"))
+
+
+def p6_totals(spark: SparkSession, root: str) -> DataFrame:
+    """Token totals per site, language and source."""
+    return token_budget.totals(_document_tokens(spark, root))
+
+
+def p6_documents(spark: SparkSession, root: str) -> DataFrame:
+    """Tokens of each document with its site, language and source."""
+    return _document_tokens(spark, root)
+
+
+def p8_ids(spark: SparkSession, root: str) -> DataFrame:
+    """Token ids of every document."""
+    return bpe.encode(table(spark, root, "documents"), "doc_id", "text")
+
+
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found}
+    return {"p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p6_totals": p6_totals, "p6_documents": p6_documents, "p8_ids": p8_ids}
 
 
 def oracle_sql() -> dict[str, str]:
