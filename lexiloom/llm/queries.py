@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import boilerplate, bpe, markup, token_budget
+from lexiloom.llm import boilerplate, bpe, language_id, markup, token_budget
 from lexiloom.runtime import table
 
 WIKI = "wiki_kdrama_final1_parquet"
@@ -48,8 +48,21 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode(table(spark, root, "documents"), "doc_id", "text")
 
 
+def p10_segments(spark: SparkSession, root: str) -> DataFrame:
+    """Language and confidence of every segment of every document."""
+    documents = table(spark, root, "documents")
+    return language_id.segments(documents, language_id.train(documents))
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    """Segments of documents whose label is missing, says nothing or is wrong, and of mixed documents."""
+    rows = p10_segments(spark, root).where("label is null or n_segments > 1 or label <> lang")
+    return rows.select("doc_id", "seg", "lang").distinct()
+
+
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p6_totals": p6_totals, "p6_documents": p6_documents, "p8_ids": p8_ids}
+    return {"p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p6_totals": p6_totals, "p6_documents": p6_documents, "p8_ids": p8_ids,
+            "p10_found": p10_found, "p10_segments": p10_segments}
 
 
 def oracle_sql() -> dict[str, str]:
