@@ -86,57 +86,55 @@ def _template(col: Column) -> Column:
     return F.when(inner != "", F.array_join(parts, "-")).otherwise(col)
 
 
-def parse(col: Column) -> Column:
-    """Struct (y, mo, d, n1, n2, hh, mi, ss, ap, zone, epoch) of the fields a date text states; null where it states none.
-
-    n1 and n2 are day and month in the order written of dates in numbers that end in the year.
+def _groups(col: Column, pattern: str, n: int, order: str | None = None) -> Column:
+    """All groups of a whole-text pattern as an array, in one pass."""
+    return F.split(F.regexp_replace(col, pattern, order or "|".join(f"${i}" for i in range(1, n + 1))), r"\|")
+
+
+CLOCK = (r"^(.*?)(?:t|,|\s|\bat\b)*\s*(오전|오후)?\s*(?<![\d:])(\d{1,2})(?::|시\s*)(\d{2})(?:분)?(?:\s*:?\s*(\d{2})(?:초)?(?:[.,]\d{1,9})?)?"
+         r"\s*([ap]\.?\s?m\.?)?\s*\(?((?:utc|gmt)?\s?[+-]\d{1,2}(?::?\d{2})?|[a-z]{1,5})?\)?\s*$")
+COMPACT = r"^(\d{4})(\d{2})(\d{2})t?(\d{2})(\d{2})(\d{2})?(?:\.\d+)?\s*(z|[+-]\d{2}:?\d{2})?$"
+_MON = "(" + "|".join(MONTHS) + r")[a-z]*\.?"
+#: (pattern, replacement) to year|month|day|first|second of the day part; first and second are day and month as written.
+DAYS = (
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1|$2|$3||"),
+    (r"^(\d{4})\s*[-./년]\s*(\d{1,2})(?:\s*[-./월]\s*(\d{1,2}))?\s*[.월일]?$", "$1|$2|$3||"),
+    (r"^(\d{1,2})[-./](\d{1,2})[-./](\d{4})$", "$3|||$1|$2"),
+    (r"^(?:[a-z]{3,9}\.?,?\s+)??" + _MON + r"\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})$", "$3|$1|$2||"),
+    (r"^(?:[a-z]{3,9}\.?,?\s+)?(\d{1,2})(?:st|nd|rd|th)?\.?\s+(?:of\s+)?" + _MON + r",?\s+(\d{4})$", "$3|$2|$1||"),
+    ("^" + _MON + r",?\s+(\d{4})$", "$2|$1|||"),
+    (r"^(\d{4})년?$", "$1||||"),
+)
+
+
+def parse(df: DataFrame) -> DataFrame:
+    """Add ``_p``: struct (y, mo, d, n1, n2, hh, mi, ss, ap, zone, epoch) of the fields ``text`` states, null where it states none.
+
+    n1 and n2 are day and month in the order written of dates in numbers that end in the year. The
+    work goes in steps, each one column, so that no expression is evaluated twice.
     """
-    t = decode_char_refs(col)
+    t = decode_char_refs(F.col("text"))
     for pattern in FOOTNOTES:
         t = F.regexp_replace(t, pattern, "")
-    t = _template(t)
-    t = F.regexp_replace(t, r"\((?![^)]*(?i:utc|gmt|[a-z]{2,4}t\)))[^)]*\)|\[[^\]]*\]|'{2,}|<[^>]*>", " ")
-    t = F.lower(squeeze(t))
-    clock = (r"^(.*?)(?:t|,|\s|\bat\b)*\s*(오전|오후)?\s*(?<![\d:])(\d{1,2})(?::|시\s*)(\d{2})(?:분)?(?:\s*:?\s*(\d{2})(?:초)?(?:[.,]\d{1,9})?)?"
-             r"\s*([ap]\.?\s?m\.?)?\s*\(?((?:utc|gmt)?\s?[+-]\d{1,2}(?::?\d{2})?|[a-z]{1,5})?\)?\s*$")
-    compact = r"^(\d{4})(\d{2})(\d{2})(?:t?(\d{2})(\d{2})(\d{2})?(?:\.\d+)?\s*(z|[+-]\d{2}:?\d{2})?)?$"
-    ymd = r"^(\d{4})\s*[-./년]\s*(\d{1,2})(?:\s*[-./월]\s*(\d{1,2}))?\s*[.월일]?$"
-    mon = "(" + "|".join(MONTHS) + r")[a-z]*\.?"
-    mdy = "^" + r"(?:[a-z]{3,9}\.?,?\s+)??" + mon + r"\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})$"
-    dmy = r"^(?:[a-z]{3,9}\.?,?\s+)?(\d{1,2})(?:st|nd|rd|th)?\.?\s+(?:of\s+)?" + mon + r",?\s+(\d{4})$"
-    my = "^" + mon + r",?\s+(\d{4})$"
-    num = r"^(\d{1,2})[-./](\d{1,2})[-./](\d{4})$"
-
-    has_clock = t.rlike(clock) & ~t.rlike(r"^\d+$")
-    day = F.when(has_clock, F.trim(F.regexp_replace(F.regexp_extract(t, clock, 1), r"[\s,t]+$", ""))).otherwise(t)
-    day = F.when(has_clock & (F.regexp_extract(t, clock, 1).rlike(r"[a-z]t$") | F.regexp_extract(t, clock, 1).rlike(r"august$")), F.trim(F.regexp_extract(t, clock, 1))).otherwise(day)
-    i = lambda c, p, k: F.nullif(F.regexp_extract(c, p, k), F.lit("")).cast("int")
-    month = lambda c, p, k: F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(c, p, k)).cast("int")
-    none = F.lit(None).cast("int")
-    nos = F.lit(None).cast("string")
-
-    def fields(y: Column, mo: Column, d: Column, n1: Column = none, n2: Column = none, epoch: Column | None = None, time: tuple | None = None) -> Column:
-        if time is None:
-            time = tuple(F.when(has_clock, x) for x in (i(t, clock, 3), i(t, clock, 4), F.coalesce(i(t, clock, 5), F.lit(0)),
-                                                        F.regexp_replace(F.concat(F.regexp_extract(t, clock, 6), F.regexp_extract(t, clock, 2)), r"[.\s]", ""),
-                                                        F.nullif(F.regexp_extract(t, clock, 7), F.lit(""))))
-        hh, mi, ss, ap, zone = time
-        return F.struct(y.alias("y"), mo.alias("mo"), d.alias("d"), n1.alias("n1"), n2.alias("n2"), hh.alias("hh"), mi.alias("mi"), ss.alias("ss"), ap.alias("ap"), zone.alias("zone"),
-                        (F.lit(None).cast("bigint") if epoch is None else epoch).alias("epoch"))
-
-    digits = (F.lit(None).cast("int"),) * 3 + (nos, nos)
+    x = df.withColumn("_t", _template(t))
+    x = x.withColumn("_t", F.lower(squeeze(F.regexp_replace("_t", r"\((?![^)]*(?i:utc|gmt|[a-z]{2,4}t\)))[^)]*\)|\[[^\]]*\]|'{2,}|<[^>]*>", " "))))
+    t = F.col("_t")
+    x = x.withColumn("_c", F.when(t.rlike(r"^\d+$"), None).when(t.rlike(COMPACT), _groups(t, COMPACT, 7, "$1-$2-$3||$4|$5|$6||$7"))
+                     .when(t.rlike(CLOCK), _groups(t, CLOCK, 7)))
+    x = x.withColumn("_day", F.coalesce(F.trim(F.get("_c", 0)), t))
+    day, split = F.col("_day"), F.lit(None).cast("array<string>")
+    for pattern, to in reversed(DAYS):
+        split = F.when(day.rlike(pattern), _groups(day, pattern, 5, to)).otherwise(split)
+    x = x.withColumn("_f", split)
+    f, c = (lambda i: F.get("_f", i)), (lambda i: F.get("_c", i))
+    num = lambda v: v.try_cast("int")
+    month = F.coalesce(num(f(1)), F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), f(1)), F.lit(0)).cast("int"))
     n = t.try_cast("bigint")
-    ctime = (i(t, compact, 4), i(t, compact, 5), F.when(i(t, compact, 4).isNotNull(), F.coalesce(i(t, compact, 6), F.lit(0))), nos, F.nullif(F.regexp_extract(t, compact, 7), F.lit("")))
-    return (F.when(t.rlike(r"^\d{9,10}$"), fields(none, none, none, epoch=n, time=digits))
-            .when(t.rlike(r"^\d{12,13}$"), fields(none, none, none, epoch=F.floor(n / 1000).cast("bigint"), time=digits))
-            .when(t.rlike(r"^\d{15,16}$"), fields(none, none, none, epoch=F.floor(n / 1_000_000).cast("bigint"), time=digits))
-            .when(t.rlike(compact), fields(i(t, compact, 1), i(t, compact, 2), i(t, compact, 3), time=ctime))
-            .when(day.rlike(ymd), fields(i(day, ymd, 1), i(day, ymd, 2), i(day, ymd, 3)))
-            .when(day.rlike(num), fields(i(day, num, 3), none, none, i(day, num, 1), i(day, num, 2)))
-            .when(day.rlike(mdy), fields(i(day, mdy, 3), month(day, mdy, 1), i(day, mdy, 2)))
-            .when(day.rlike(dmy), fields(i(day, dmy, 3), month(day, dmy, 2), i(day, dmy, 1)))
-            .when(day.rlike(my), fields(i(day, my, 2), month(day, my, 1), none))
-            .when(day.rlike(r"^\d{4}년?$"), fields(i(day, r"^(\d{4})", 1), none, none)))
+    epoch = (F.when(t.rlike(r"^\d{9,10}$"), n).when(t.rlike(r"^\d{12,13}$"), F.floor(n / 1000).cast("bigint")).when(t.rlike(r"^\d{15,16}$"), F.floor(n / 1_000_000).cast("bigint")))
+    return x.withColumn("_p", F.struct(
+        num(f(0)).alias("y"), month.alias("mo"), num(f(2)).alias("d"), num(f(3)).alias("n1"), num(f(4)).alias("n2"),
+        num(c(2)).alias("hh"), num(c(3)).alias("mi"), F.when(c(2).isNotNull(), F.coalesce(num(c(4)), F.lit(0))).alias("ss"),
+        F.regexp_replace(F.concat(c(5), c(1)), r"[.\s]", "").alias("ap"), F.nullif(c(6), F.lit("")).alias("zone"), epoch.alias("epoch"))).drop("_t", "_c", "_day", "_f")
 
 
 def normalise(df: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -146,7 +144,7 @@ def normalise(df: DataFrame, intervals: DataFrame) -> DataFrame:
     ``YYYY-MM-DD``, ``YYYY-MM`` or ``YYYY``. Null for null, blank, relative, unknown and impossible
     dates and for a time without a known zone. Rows keep their number; repeated rows stay.
     """
-    x = df.withColumn("_p", parse(F.col("text")))
+    x = parse(df)
     p = lambda name: F.col(f"_p.{name}")
     order = F.coalesce(F.lower("date_order"), F.lit("mdy"))
     swapped = order == "dmy"
