@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 LOCAL_CHECKPOINT_DIR = "/tmp/lexiloom-checkpoints"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the Python workers of the session, once, wherever they start."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parent
+        made = shutil.make_archive(str(Path(tempfile.mkdtemp()) / package.name), "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(made)
+        _shipped.add(app)
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``root``."""
+    ship(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
