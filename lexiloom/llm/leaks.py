@@ -32,7 +32,7 @@ from lexiloom.runtime import cut
 
 WINDOW, STRIDE = 24, 8
 RANK, OVERSAMPLE, SEED = 256, 16, 20240
-MIN_COSINE = 0.3
+MIN_COSINE = 0.55
 SHARE, EDITS = 1 / 3, 7
 MAX_TERMS = 400_000
 
@@ -256,7 +256,7 @@ def stretch(words: list[str], item: list[str]) -> tuple[int, int]:
 
 def verify(df: DataFrame, pairs: DataFrame, items: list[tuple[int, list[str]]], share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, matched, edits, words) of the candidates that carry enough of the item."""
-    shared = df.sparkSession.sparkContext.broadcast(dict(items))
+    shared = df.sparkSession.sparkContext.broadcast({i: (w, set(zip(w, w[1:]))) for i, w in items})
     grouped = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "starts")).alias("found"))
     texts = df.select("doc_id", "text").join(grouped, "doc_id")
 
@@ -267,8 +267,7 @@ def verify(df: DataFrame, pairs: DataFrame, items: list[tuple[int, list[str]]],
             for key, text, found in zip(pdf["doc_id"], pdf["text"], pdf["found"]):
                 words = fold(text)
                 for f in found:
-                    item, starts = of[f["item_id"]], list(f["starts"])
-                    pairs_ = set(zip(item, item[1:]))
+                    (item, held), starts = of[f["item_id"]], list(f["starts"])
                     need = len(item) * share
                     best = (0, 0)
                     at = 0
@@ -278,7 +277,7 @@ def verify(df: DataFrame, pairs: DataFrame, items: list[tuple[int, list[str]]],
                             end += 1
                         part = words[max(0, starts[at] - len(item)):starts[end] + WINDOW + len(item)]
                         at = end + 1
-                        if sum(p in pairs_ for p in zip(part, part[1:])) >= need * 5 / 6 - 1:
+                        if sum(p in held for p in zip(part, part[1:])) >= need * 5 / 6 - 1:
                             best = max(best, stretch(part, item))
                     if best[0] >= need - 1e-9:
                         out.append((key, f["item_id"], best[0], best[1], len(item)))

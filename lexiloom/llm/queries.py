@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import boilerplate, bpe, language_id, markup, token_budget
+from lexiloom.llm import boilerplate, bpe, language_id, leaks, markup, token_budget
 from lexiloom.runtime import table
 
 WIKI = "wiki_kdrama_final1_parquet"
@@ -48,6 +48,16 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode(table(spark, root, "documents"), "doc_id", "text")
 
 
+def p9_leaks(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that carry evaluation passages, with matched words and edits."""
+    return leaks.leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """Which documents carry which evaluation items."""
+    return p9_leaks(spark, root).select("doc_id", "item_id").distinct()
+
+
 def p10_segments(spark: SparkSession, root: str) -> DataFrame:
     """Language and confidence of every segment of every document."""
     documents = table(spark, root, "documents")
@@ -62,6 +72,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 def queries() -> dict:
     return {"p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p6_totals": p6_totals, "p6_documents": p6_documents, "p8_ids": p8_ids,
+            "p9_found": p9_found, "p9_leaks": p9_leaks,
             "p10_found": p10_found, "p10_segments": p10_segments}
 
 
