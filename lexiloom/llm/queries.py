@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import boilerplate, bpe, language_id, leaks, markup, token_budget
+from lexiloom.llm import boilerplate, bpe, language_id, leaks, linkage, markup, token_budget
 from lexiloom.runtime import table
 
 WIKI = "wiki_kdrama_final1_parquet"
 MARKUP_FIELDS = ("synopsis", "starring", "budget")
 
 
+def p1_links(spark: SparkSession, root: str) -> DataFrame:
+    """The record of the show each page is about, with a confidence."""
+    return linkage.link(table(spark, root, "entities"), table(spark, root, WIKI), table(spark, root, "sites"))
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pages about exactly one show with the wiki_id of the show."""
+    return p1_links(spark, root).select("entity_id", "wiki_id")
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """The sorts of markup elements in each text of a record."""
     return markup.elements(table(spark, root, WIKI), "rec_id", MARKUP_FIELDS)
@@ -71,7 +81,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p6_totals": p6_totals, "p6_documents": p6_documents, "p8_ids": p8_ids,
+    return {"p1_found": p1_found, "p1_links": p1_links, "p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p6_totals": p6_totals, "p6_documents": p6_documents, "p8_ids": p8_ids,
             "p9_found": p9_found, "p9_leaks": p9_leaks,
             "p10_found": p10_found, "p10_segments": p10_segments}
 
