@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -11,6 +12,11 @@ from pyspark.sql import functions as F
 BLANKS = r"[\s\u00a0\u2000-\u200b\u202f\u205f\u3000\ufeff]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def trim_all(col: Column) -> Column:
     """Trim every kind of white space; null stays null."""
     return F.regexp_replace(col, f"^{BLANKS}+|{BLANKS}+$", "")
@@ -35,7 +41,7 @@ def decode_char_refs(col: Column, keep: tuple[str, ...] = ()) -> Column:
     names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() if name not in keep
                            for x in (name, " " if name == "nbsp" else chr(code))],
                          *([] if "apos" in keep else [F.lit("apos"), F.lit("'")]))
-    atoms = F.regexp_extract_all(col, F.lit(r"(?s)(&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[A-Za-z][A-Za-z0-9]{1,31};|[^&]+|&)"), F.lit(1))
+    pattern = F.lit(r"(?s)(&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[A-Za-z][A-Za-z0-9]{1,31};|[^&]+|&)")
 
     def one(atom: Column) -> Column:
         body = F.regexp_replace(atom, r"^&#?[xX]?|;$", "")
@@ -44,7 +50,7 @@ def decode_char_refs(col: Column, keep: tuple[str, ...] = ()) -> Column:
                 .when(atom.rlike(r"^&[A-Za-z][A-Za-z0-9]*;$"), F.coalesce(F.try_element_at(names, F.regexp_replace(atom, "^&|;$", "")), atom))
                 .otherwise(atom))
 
-    return F.when(F.instr(col, "&") > 0, F.array_join(F.transform(atoms, one), "")).otherwise(col)
+    return let(col, lambda v: F.when(F.instr(v, "&") > 0, F.array_join(F.transform(F.regexp_extract_all(v, pattern, F.lit(1)), one), "")).otherwise(v))
 
 
 #: Patterns that vanish with their content: comments, references, footnote templates.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.functions.text import FOOTNOTES, UNWRAP, decode_char_refs
+from lexiloom.functions.text import FOOTNOTES, UNWRAP, decode_char_refs, let
 
 #: Infobox attribute -> its keys in wiki text.
 ATTRIBUTES = {
@@ -64,9 +64,13 @@ def clean_value(col: Column) -> Column:
         v = F.regexp_replace(v, p, to)
     v = F.regexp_replace(v, r"(?i)\[\[(?:file|image):[^\]]*\]\]|\{\{\s*(?:hidden|lang|korean|ko-h|ko-translit|efn|cite|ref)\b[^{}]*\}\}", "")
     lists = r"(?i)\{\{\s*(?:pl|plain ?list|ubl|flat ?list|h ?list|unbulleted[ _]list|theme song)\s*\|([^{}]*)\}\}"
-    inner = F.regexp_extract(v, lists, 1)
-    items = F.array_join(F.filter(F.transform(F.split(inner, r"\||\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*\*\s*", ""))), lambda x: x != ""), ", ")
-    v = F.when(v.rlike(lists), F.concat(F.regexp_replace(v, r"(?is)\{\{\s*(?:pl|plain ?list|ubl|flat ?list|h ?list|unbulleted[ _]list|theme song)\s*\|.*$", ""), items, F.regexp_replace(v, "(?s)^.*?" + lists.replace("(?i)", "(?i:", 1) + ")", ""))).otherwise(v)
+    head = r"(?is)\{\{\s*(?:pl|plain ?list|ubl|flat ?list|h ?list|unbulleted[ _]list|theme song)\s*\|.*$"
+
+    def opened(t: Column) -> Column:
+        items = F.filter(F.transform(F.split(F.regexp_extract(t, lists, 1), r"\||\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*\*\s*", ""))), lambda x: x != "")
+        return F.when(t.rlike(lists), F.concat(F.regexp_replace(t, head, ""), F.array_join(items, ", "), F.regexp_replace(t, "(?s)^.*?" + lists.replace("(?i)", "(?i:", 1) + ")", ""))).otherwise(t)
+
+    v = let(v, opened)
     v = F.regexp_replace(F.regexp_replace(v, r"(?m)^\s*\*\s*", "* "), r"^\* ", "")
     for p, to in ((r"\s*\n?\* ", ", "), (r"(?i)<br\s*/?\s*>", ", "), (r"\{\{[^{}]*\}\}", ""), (r"\{\{[^{}]*\}\}", ""), (r"\}\}\s*$", ""), (r"<[^>]+>", ""), (r"={2,}\s*[^=]+={2,}", ""), (r"\(\s*\)", ""), (r"\s+", " ")):
         v = F.regexp_replace(v, p, to)
@@ -79,6 +83,7 @@ def records(pages: DataFrame, country: str = "south korea", language: str = "kor
     raw = {name: F.coalesce(*[F.try_element_at("_box", F.lit(k)) for k in keys]) for name, keys in ATTRIBUTES.items()}
     x = x.withColumns({f"_{n}": clean_value(raw[n]) for n in ("country", "language")})
     x = x.where(F.lower("_country").contains(country) & F.lower("_language").contains(language))
+    x = x.withColumn("_values", F.transform(F.array(*raw.values()), clean_value))
     synopsis = F.coalesce(*[F.nullif(F.regexp_extract("text", rf"(?is)==\s*{h}\s*==(.*?)(?=\n==|\z)", 1), F.lit("")) for h in ("Synopsis", "Plot")])
     return x.select("wiki_id", decode_char_refs(F.col("title")).alias("title"), "timestamp", "username",
-                    *[(F.col(f"_{n}") if n in ("country", "language") else clean_value(raw[n])).alias(n) for n in ATTRIBUTES], clean_value(synopsis).alias("synopsis"))
+                    *[F.get("_values", i).alias(n) for i, n in enumerate(ATTRIBUTES)], clean_value(synopsis).alias("synopsis"))

@@ -354,10 +354,11 @@ def _wikitext(spark, root):
 @query("SELECT rec_id, " + ", ".join(f"coalesce(trim(regexp_replace({c}, '\\s+', ' ', 'g')), '') AS {c}" for c in _BOX) + f" FROM {WIKI}")
 def wiki_infobox(spark, root):
     x = _wikitext(spark, root).withColumn("box", wikitext.infobox(F.col("text")))
-    return x.select("rec_id", *[wikitext.clean_value(F.coalesce(*[F.try_element_at("box", F.lit(k)) for k in wikitext.ATTRIBUTES[c]])).alias(c) for c in _BOX])
+    raw = F.array(*[F.coalesce(*[F.try_element_at("box", F.lit(k)) for k in wikitext.ATTRIBUTES[c]]) for c in _BOX])
+    return x.withColumn("values", F.transform(raw, wikitext.clean_value)).select("rec_id", *[F.get("values", i).alias(c) for i, c in enumerate(_BOX)])
 
 
-@query(f"SELECT wiki_id, trim(title) AS title FROM {WIKI} WHERE contains(lower(coalesce(country, '')), 'south korea') AND contains(lower(coalesce(language, '')), 'korean')")
+@query(f"SELECT wiki_id, replace(trim(title), '&amp;', '&') AS title FROM {WIKI} WHERE contains(lower(coalesce(country, '')), 'south korea') AND contains(lower(coalesce(language, '')), 'korean')")
 def wiki_qualify(spark, root):
     return wikitext.records(_wikitext(spark, root)).select("wiki_id", F.trim("title").alias("title"))
 
@@ -365,7 +366,8 @@ def wiki_qualify(spark, root):
 @query()
 def wiki_clean(spark, root):
     fields = ("alt_name", "starring", "budget", "runtime", "genre", "first_aired", "last_aired", "synopsis")
-    return table(spark, root, WIKI).select("rec_id", *[wikitext.clean_value(F.col(c)).alias(c) for c in fields])
+    x = table(spark, root, WIKI).select("rec_id", F.transform(F.array(*fields), wikitext.clean_value).alias("values"))
+    return x.select("rec_id", *[F.get("values", i).alias(c) for i, c in enumerate(fields)])
 
 
 @query()
