@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.functions.text import BLANKS, decode_char_refs, strip_inline_markup, trim_all
+from lexiloom.functions.text import BLANKS, decode_char_refs, let, strip_inline_markup, trim_all
 
 #: Fields whose values are persons: "&" and "and" part them; single words are no names.
 PERSON_FIELDS = ("starring",)
@@ -112,10 +112,11 @@ def unpack(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
 
 def _value(piece: Column) -> Column:
     """A piece as a reader sees it: trimmed, without enclosing quotes."""
-    v = trim_all(piece)
-    v = F.regexp_replace(v, r"^(?i:and|&)\s+(?=\S)", "")
-    quoted = v.rlike(r"(?s)^\"(?:[^\"\\]|\\.|\"\")*\"$")
-    inner = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, r"(?s)^\"(.*)\"$", "$1"), r"\"\"", "\""), r"\\([\"\\/])", "$1")
-    v = F.when(quoted, inner).otherwise(v)
-    v = F.regexp_replace(v, r"(?s)^\u201c([^\u201c\u201d]*)\u201d$|^\u2018([^\u2018\u2019]*)\u2019$|^'([^']*)'$|^\u300c([^\u300c\u300d]*)\u300d$|^\u300e([^\u300e\u300f]*)\u300f$", "$1$2$3$4$5")
+    def unquoted(v: Column) -> Column:
+        csv = v.rlike(r"(?s)^\"(?:[^\"\\]|\\.|\"\")*\"$")
+        inner = F.regexp_replace(F.replace(F.substring(v, F.lit(2), F.length(v) - 2), F.lit("\"\""), F.lit("\"")), r"\\([\"\\/])", "$1")
+        other = F.regexp_replace(v, r"(?s)^\u201c([^\u201c\u201d]*)\u201d$|^\u2018([^\u2018\u2019]*)\u2019$|^'([^']*)'$|^\u300c([^\u300c\u300d]*)\u300d$|^\u300e([^\u300e\u300f]*)\u300f$", "$1$2$3$4$5")
+        return F.when(csv, inner).otherwise(other)
+
+    v = let(F.regexp_replace(trim_all(piece), r"^(?i:and|&)\s+(?=\S)", ""), unquoted)
     return F.regexp_replace(decode_char_refs(trim_all(v)), f"{BLANKS}+", " ")
