@@ -7,9 +7,10 @@ import html
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def decode_entities(texts: pd.Series) -> pd.Series:
     """All HTML 5 references decoded; null stays null."""
     return texts.map(lambda t: None if t is None else html.unescape(t))

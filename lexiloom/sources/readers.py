@@ -19,7 +19,7 @@ def html_files(spark: SparkSession, root: str) -> DataFrame:
 
 def text_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, site, text) of all ``*.txt`` below ``root``; site is the folder, text is in lower case."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(root)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(root, wholetext=True)
     path = F.input_file_name()
     return files.select(path.alias("path"), F.element_at(F.split(path, "/"), -2).alias("site"), F.lower("value").alias("text"))
 
