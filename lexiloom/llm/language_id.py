@@ -32,7 +32,7 @@ CACHED_WORDS = 300_000
 ROUNDS = 40
 
 _WORD = re.compile("[぀-ヿ㐀-䶿一-鿿々]{1,4}|[가-힣ᄀ-ᇿ]+|[^\\W\\d_぀-ヿ㐀-䶿一-鿿가-힣ᄀ-ᇿ々]+")
-_GAP = re.compile(r"\n[ \t\r\f\v 　​]*\n+")
+_GAP = re.compile("\n(?:[ \t\f\v ​　]*\n)+")
 NO_WORD = -1
 
 

@@ -113,7 +113,7 @@ def clean(col: Column) -> Column:
 
     def plain(a: Column) -> Column:
         a = _without(a, tuple(FOOTNOTES), "")
-        for p, to in ((r"(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]\s*>", "\n# $1\n"), (r"(?m)^[ \t]*(={2,6})[ \t]*([^=\n]+?)[ \t]*\1[ \t]*$", "# $2"),
+        for p, to in ((r"(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]\s*>", "\n\u0002 $1\n"), (r"(?m)^[ \t]*(={2,6})[ \t]*([^=\n]+?)[ \t]*\1[ \t]*$", "\u0002 $2"),
                       (r"(?m)^[ ]{0,3}#{2,6}[ \t]+([^\n]*?)[ \t]*#*[ \t]*$", "\u0002 $1"), (r"(?m)^([^\s\-=*>|#\u0002][^\n]{0,120})\n(?:={3,}|-{3,})[ \t]*$", "\u0002 $1"),
                       (r"\\(?:part|chapter|(?:sub){0,2}section|paragraph)\*?\{([^{}\n]*)\}", "\u0002 $1"),
                       (r"(?m)^#[ \t]*(?=[^#\s])(?=[^\n]*$)", "- "), (r"(?i)<li\b[^>]*>", "\n- "), (r"(?i)</li\s*>|</?(?:ul|ol|dl)\b[^>]*>", ""),
@@ -137,4 +137,4 @@ def clean(col: Column) -> Column:
                 .when(formula, F.concat(F.lit("$"), math, F.lit("$"))).otherwise(plain(a)))
 
     out = F.array_join(F.transform(atoms, one), "")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+(?=\n)", ""), r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"[ \t]+(?=\n)", ""), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
