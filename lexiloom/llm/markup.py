@@ -131,7 +131,7 @@ def clean(col: Column) -> Column:
         code = a.rlike(r"(?s)^(?:<(?i:pre|syntaxhighlight|source|code|tt|kbd|samp)\b|[ \t]*(?:```|~~~)|\\begin\{(?:verbatim|lstlisting|minted)|\\verb|\\lstinline|`[^`])")
         formula = a.rlike(r"(?s)^(?:<(?i:math|chem|ce)\b|\\begin\{(?:equation|align|gather|displaymath|math|eqnarray|multline)|\$|\\\[|\\\().*(?:>|\}|\$|\\\]|\\\))$")
         body = F.trim(F.regexp_replace(F.regexp_replace(a, r"(?is)^(?:<[^>]*>)+|(?:</[^>]*>\s*)+$|^[ \t]*(?:```|~~~)[^\n]*\n|\n?[ \t]*(?:```|~~~)[ \t]*$|\\(?:begin|end)\{[a-z*]+\}|^`|`$", ""), r"^\\(?:verb|lstinline)\*?\||\|$", ""))
-        block = F.instr(body, "\n") > 0
+        block = (F.instr(body, "\n") > 0) | a.rlike(r"(?i)^(?:[ \t]*(?:```|~~~)|<pre\b|<syntaxhighlight\b|\\begin)")
         math = F.trim(F.regexp_replace(a, r"(?is)^<[^>]*>|</[^>]*>$|\\(?:begin|end)\{[a-z*]+\}|^\$+|\$+$|^\\[\[(]|\\[\])]$", ""))
         return (F.when(code, F.when(block, F.concat(F.lit("```\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("`"), body, F.lit("`"))))
                 .when(formula, F.concat(F.lit("$"), math, F.lit("$"))).otherwise(plain(a)))
