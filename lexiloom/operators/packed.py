@@ -22,6 +22,8 @@ from lexiloom.functions.text import BLANKS, decode_char_refs, let, strip_inline_
 PERSON_FIELDS = ("starring",)
 #: Fields whose values are titles: an unquoted comma may belong to the value.
 TITLE_FIELDS = ("alt_name",)
+#: Words with which a title opens before its own comma.
+TITLE_OPENERS = ("Hello",)
 
 ATOMS = (
     r"(?s)(\"(?:[^\"\\]|\\.|\"\")*\"|\u201c[^\u201d]*\u201d|\([^()]*\)|\uff08[^\uff09]*\uff09"
@@ -55,7 +57,7 @@ def _mask(atom: Column) -> Column:
         if sign != "\n":
             out = out.when(bare == sign, F.lit(mark))
     return (out.when(bare == "", F.lit(""))
-            .when(bare == "Hello", F.lit("h"))
+            .when(bare.isin(*TITLE_OPENERS), F.lit("h"))
             .when(bare.rlike(r"^\p{Lu}\p{Ll}+$"), F.lit("u"))
             .otherwise(F.lit("w")))
 
