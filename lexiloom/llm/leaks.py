@@ -34,7 +34,7 @@ WINDOW, STRIDE = 24, 8
 RANK, OVERSAMPLE, SEED = 256, 16, 20240
 MIN_COSINE = 0.55
 SHARE, EDITS = 1 / 3, 7
-MAX_TERMS = 400_000
+MAX_TERMS = 50_000
 
 #: Letters of other scripts that look like Latin letters, and the letters they look like.
 LOOK_ALIKES = str.maketrans(dict(zip(
