@@ -7,7 +7,9 @@
 3. A distributed randomised SVD (random test matrix, one power step) of the passages of both sides
    spans the latent space; each pass multiplies the rows where they are and adds up term blocks.
 4. Every window whose cosine with an item passage reaches ``MIN_COSINE`` in the latent space is a
-   candidate; there is no cap on candidates.
+   candidate; there is no cap on candidates. The latent space keeps little of some windows, so every
+   place with as many word pairs of an item as the alignment implies (``bounds``) is a candidate too,
+   whatever its cosine: no passage that step 5 would accept is lost before it.
 5. A word alignment of candidate and item decides: matched words at least a third of the item's, at
    most one word in seven changed, left out or added.
 
@@ -19,6 +21,7 @@ grouped by source.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -60,6 +63,17 @@ def windows(n: int) -> range:
     return range(0, max(1, n - WINDOW + STRIDE), STRIDE)
 
 
+def bounds(n_words: int, share: float = SHARE) -> tuple[int, int]:
+    """(pairs, reach) of an item of n words: every accepted stretch holds a part of at most ``reach`` words with ``pairs`` word pairs of the item.
+
+    Of an accepted stretch with twice the needed words, the first or the second half is accepted alone, so one
+    with k matched words, need <= k < 2 need, exists; its e <= k / (EDITS - 1) edits leave k - 1 - e pairs.
+    """
+    need = max(1, math.ceil(n_words * share - 1e-9))
+    most = min(n_words, 2 * need - 1)
+    return max(1, need - 1 - need // (EDITS - 1)), most + most // (EDITS - 1)
+
+
 def item_terms(items: list[tuple[int, list[str]]]) -> dict[tuple[str, str], int]:
     """Number of each word pair of the items."""
     terms: dict[tuple[str, str], int] = {}
@@ -191,16 +205,44 @@ def latent_basis(found: DataFrame, items: tuple, idf: np.ndarray, rank: int = RA
     return (q @ vectors[:, ::-1][:, :rank]).astype(np.float32)
 
 
-def candidates(found: DataFrame, items: tuple, idf: np.ndarray, basis: np.ndarray, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """(doc_id, item_id, starts): windows whose latent cosine with a passage of the item reaches min_cosine."""
+def held_pairs(items: list[tuple[int, list[str]]], terms: dict[tuple[str, str], int], share: float = SHARE) -> tuple[np.ndarray, ...]:
+    """(offset of each term, numbers of the items that hold it, item ids, pairs, reach): what ``bounded`` looks up."""
+    held = sorted({(terms[p], k) for k, (_, w) in enumerate(items) for p in zip(w, w[1:])})
+    offset = np.zeros(len(terms) + 1, np.int64)
+    np.add.at(offset, np.array([t for t, _ in held]) + 1, 1)
+    limits = np.array([bounds(len(w), share) for _, w in items])
+    return np.cumsum(offset), np.array([k for _, k in held]), np.array([i for i, _ in items]), limits[:, 0], limits[:, 1]
+
+
+def bounded(pos: list[np.ndarray], term: list[np.ndarray], held: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item id, start): places from which a text holds enough word pairs of an item within the item's reach."""
+    offset, numbers, ids, pairs, reach = held
+    text = np.repeat(np.arange(len(pos)), [len(p) for p in pos])
+    p, t = (np.concatenate([np.asarray(x, np.int64) for x in xs]) if len(xs) else np.array([], np.int64) for xs in (pos, term))
+    size = offset[t + 1] - offset[t]
+    row = np.repeat(np.arange(len(t)), size)
+    item = numbers[np.repeat(offset[t] - np.cumsum(size) + size, size) + np.arange(len(row))]
+    key = text[row] * len(ids) + item
+    order = np.lexsort((p[row], key))
+    key, at, item = key[order], p[row][order], item[order]
+    i = np.arange(len(key))
+    j = i + pairs[item] - 1
+    i, j = i[j < len(key)], j[j < len(key)]
+    ok = (key[j] == key[i]) & (at[j] - at[i] + 2 <= reach[item[i]])
+    i = i[ok]
+    return key[i] // len(ids), ids[item[i]], at[i]
+
+
+def candidates(found: DataFrame, items: tuple, idf: np.ndarray, basis: np.ndarray, held: tuple[np.ndarray, ...], min_cosine: float = MIN_COSINE) -> DataFrame:
+    """(doc_id, item_id, starts): windows whose latent cosine with a passage of the item reaches min_cosine, and places with the word pairs that an accepted stretch must have."""
     owner, offset, cols = items
     vals = _rows(offset, cols, idf)
     latent = _times(offset, cols, vals, basis)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    shared = found.sparkSession.sparkContext.broadcast((owner, latent, basis, idf))
+    shared = found.sparkSession.sparkContext.broadcast((owner, latent, basis, idf, held))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, latent, basis, idf = shared.value
+        owner, latent, basis, idf, held = shared.value
         for whole in batches:
             for lo in range(0, len(whole), 1000):
                 pdf = whole.iloc[lo:lo + 1000]
@@ -214,44 +256,37 @@ def candidates(found: DataFrame, items: tuple, idf: np.ndarray, basis: np.ndarra
                         r, c = np.nonzero(y[a:a + 4096] @ latent.T >= min_cosine)
                         for i, j in zip(r + a, owner[c]):
                             pairs.setdefault((int(keys[text[i]]), int(j)), set()).add(int(start[i]))
+                    for i, j, s in zip(*bounded(pdf["pos"].tolist(), pdf["term"].tolist(), held)):
+                        pairs.setdefault((int(keys[i]), int(j)), set()).add(int(s))
                 yield pd.DataFrame([(d, i, sorted(s)) for (d, i), s in pairs.items()], columns=["doc_id", "item_id", "starts"])
 
     return found.where("size(pos) > 0").mapInPandas(run, "doc_id bigint, item_id bigint, starts array<int>")
 
 
 def stretch(words: list[str], item: list[str]) -> tuple[int, int]:
-    """(matched words, edits) of the best stretch: most matched words with at most one edit in seven words."""
+    """(matched words, edits) of the best stretch: most matched words with at most one edit in seven words.
+
+    For each number of edits the most matched words of any stretch, by dynamic programming along the
+    anti-diagonals: one score for all edits would take the best scored stretch, not the longest allowed one.
+    """
     n, m = len(words), len(item)
+    levels = m // (EDITS - 1)
     place = {w: i for i, w in enumerate(dict.fromkeys(item))}
-    a = np.array([place.get(w, -1) for w in words])
+    a = np.full(n + 2 * m, -1)
+    a[m:m + n] = [place.get(w, -1) for w in words]
     b = np.array([place[w] for w in item])
-    gap, off = 2, np.arange(m + 1) * 2
-    h = np.zeros((n + 1, m + 1), np.int32)
-    for i in range(n):
-        row = np.maximum(h[i, :-1] + np.where(b == a[i], 1, -gap), h[i, 1:] - gap)
-        row = np.concatenate(([0], np.maximum(row, 0)))
-        h[i + 1] = np.maximum.accumulate(row + off) - off
-    i, j = np.unravel_index(h.argmax(), h.shape)
-    path = []
-    while i and j and h[i, j] > 0:
-        if h[i, j] == h[i - 1, j - 1] + (1 if b[j - 1] == a[i - 1] else -gap):
-            path.append(b[j - 1] == a[i - 1])
-            i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] - gap:
-            path.append(False)
-            i -= 1
-        else:
-            path.append(False)
-            j -= 1
-    total = np.concatenate(([0], np.cumsum(np.where(path, 1, 1 - EDITS)))) if path else np.zeros(1)
-    matched = np.concatenate(([0], np.cumsum(path))) if path else np.zeros(1, int)
-    best = (0, 0)
-    low = np.minimum.accumulate(total)
-    for e in range(len(total) - 1, 0, -1):
-        s = int(np.searchsorted(-low, -total[e]))
-        if s < e and (k := int(matched[e] - matched[s])) > best[0]:
-            best = k, e - s - k
-    return best
+    one = two = best = np.zeros((levels + 1, m + 1), np.int16)
+    for d in range(2, n + m + 1):
+        cur = np.zeros_like(best)
+        cur[:, 1:] = (two[:, :-1] + 1) * (a[d - 1:d - 1 + m][::-1] == b)
+        for before in (one[:-1, 1:], one[:-1, :-1], two[:-1, :-1]):
+            np.maximum(cur[1:, 1:], before, out=cur[1:, 1:])
+        best = np.maximum(best, cur)
+        one, two = cur, one
+    matched = best.max(axis=1)
+    matched = np.where(matched >= (EDITS - 1) * np.arange(levels + 1), matched, 0)
+    edits = int(matched.argmax())
+    return int(matched[edits]), edits
 
 
 def verify(df: DataFrame, pairs: DataFrame, items: list[tuple[int, list[str]]], share: float = SHARE) -> DataFrame:
@@ -268,14 +303,14 @@ def verify(df: DataFrame, pairs: DataFrame, items: list[tuple[int, list[str]]],
                 words = fold(text)
                 for f in found:
                     (item, held), starts = of[f["item_id"]], list(f["starts"])
-                    need = len(item) * share
+                    need, reach = len(item) * share, max(len(item), bounds(len(item), share)[1])
                     best = (0, 0)
                     at = 0
                     while at < len(starts):
                         end = at
-                        while end + 1 < len(starts) and starts[end + 1] <= starts[end] + WINDOW + len(item):
+                        while end + 1 < len(starts) and starts[end + 1] <= starts[end] + WINDOW + reach:
                             end += 1
-                        part = words[max(0, starts[at] - len(item)):starts[end] + WINDOW + len(item)]
+                        part = words[max(0, starts[at] - reach):starts[end] + WINDOW + reach]
                         at = end + 1
                         if sum(p in held for p in zip(part, part[1:])) >= need * 5 / 6 - 1:
                             best = max(best, stretch(part, item))
@@ -309,4 +344,4 @@ def leaks(documents: DataFrame, eval_items: DataFrame, share: float = SHARE, min
     text, start, offset, cols = _passages([len(w) for _, w in items], [np.arange(len(w) - 1) for _, w in items], [np.array([terms[p] for p in zip(w, w[1:])]) for _, w in items])
     side = np.array([i for i, _ in items])[text], offset, cols
     basis = latent_basis(found, side, idf)
-    return verify(documents, candidates(found, side, idf, basis, min_cosine), items, share)
+    return verify(documents, candidates(found, side, idf, basis, held_pairs(items, terms, share), min_cosine), items, share)

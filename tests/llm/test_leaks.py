@@ -59,3 +59,31 @@ def test_leaks_against_brute_force(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
     assert leaks(df.limit(0), ev).count() == 0
     assert leaks(df, ev.limit(0)).count() == 0
+
+
+def test_stretch_takes_matches_after_a_late_edit():
+    item = [f"w{i}" for i in range(24)]
+    assert stretch(item[:6] + ["zz"] + item[6:8], item) == (8, 1)
+    assert stretch(item[:6] + ["zz"] + item[7:13] + ["zz"] + item[13:14], item) == (13, 2)
+    assert stretch(item[:5] + ["zz"] + item[5:7], item) == (7, 1)
+    assert stretch(item[:3] + ["zz"] + item[3:5], item) == (3, 0)
+
+
+def test_least_passages_at_every_offset_need_no_cosine(spark):
+    rnd = random.Random(5)
+    items = [(i, [f"i{i}w{j}" for j in range(n)]) for i, n in enumerate((24, 31, 62, 101))]
+    docs, want = [], set()
+    for i, words in items:
+        need = -(-len(words) // 3)
+        for at in range(len(words) - need + 1):
+            part = words[at:at + need]
+            for edit in (False, True):
+                out = [w for j, w in enumerate(part) for w in ([w, "extra"] if edit and j % 6 == 5 and j + 1 < need else [w])]
+                pad = [f"x{rnd.randint(0, 999)}" for _ in range(40)]
+                k = rnd.randint(0, 40)
+                want.add((len(docs), i))
+                docs.append((len(docs), " ".join(pad[:k] + out + pad[k:])))
+        docs.append((len(docs), " ".join(words[:need - 1])))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    ev = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks(df, ev, min_cosine=2.0).collect()} == want
