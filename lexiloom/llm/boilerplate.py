@@ -2,10 +2,11 @@
 
 A page is an ordered tree of lines. Line labels (digits masked) are counted per host over distinct
 paths; labels that return on many pages become the constant nodes of the host's template, in their
-mean order, the rest are slots. Each page is then aligned with its host's template by simple tree
-matching (the largest order-keeping set of equal nodes). Matched nodes split the page: what lies
-before the headline slot, from the first matched node behind the last paragraph on, and widgets
-matched inside the article is frame; the other slots are the article.
+mean order, the rest are slots. What lies before the headline, from the first constant node behind
+the last paragraph on, and constant nodes and widgets inside the article is frame; the rest is the
+article. Whether a line is a constant node is membership in the template, not alignment: the same
+box stands several times and at several places of a page, which an order-keeping matching (each node
+once) leaves in slots. Simple tree matching decides only where pages without a paragraph begin.
 
 Scale: the counts shuffle fixed-width hashes, pre-aggregated, so a host with a third of all pages
 spreads over its labels. A host's template holds labels of at least ``MIN_SHARE`` of its pages, so
