@@ -30,6 +30,9 @@ from lexiloom.functions.text import squeeze
 MIN_SHARE, PRIOR_PAGES = 0.033, 300
 #: Share of a widget's neighbours before and behind that are sentences.
 BODY_SHARE = 0.4
+#: Hosts from which a label's share and place are judged over all hosts; a label that keeps to the top of pages
+#: (mean and spread of its place) and, but for this share of its pages, apart from sentences is constant however rare it is.
+MIN_HOSTS, TOP, APART = 3, 0.25, 0.05
 
 LINE = "struct<line_no:int,label:bigint,prefix:bigint,sentence:boolean,text:string>"
 
@@ -60,13 +63,19 @@ def templates(pages: DataFrame) -> DataFrame:
         F.struct(F.col("x.label").alias("label"), F.lit(False).alias("is_prefix")), F.struct(F.col("x.prefix").alias("label"), F.lit(True).alias("is_prefix")))).alias("l"))
     both = both.select("host", "path", "pos", "before", "behind", "l.label", "l.is_prefix").where("label is not null and label <> 0")
     per_page = both.groupBy("host", "label", "is_prefix", "path").agg(F.avg("pos").alias("pos"), F.avg("before").alias("before"), F.avg("behind").alias("behind"))
-    per_host = per_page.groupBy("host", "label", "is_prefix").agg(F.count("*").alias("n"), F.avg("pos").alias("pos"), F.sum("before").alias("before"), F.sum("behind").alias("behind"))
+    per_host = per_page.groupBy("host", "label", "is_prefix").agg(F.count("*").alias("n"), F.avg("pos").alias("pos"), F.sum("pos").alias("at"), F.sum(F.col("pos") * F.col("pos")).alias("at2"), F.sum("before").alias("before"), F.sum("behind").alias("behind"))
     sizes = pages.groupBy("host").agg(F.countDistinct("path").alias("pages"))
     known = per_host.join(sizes, "host")
-    overall = known.groupBy("label").agg((F.sum("n") / F.sum("pages")).alias("share"), F.sum("n").alias("all_n"),
+    overall = known.groupBy("label").agg((F.sum("n") / F.sum("pages")).alias("share"), F.sum("n").alias("all_n"), F.count("*").alias("hosts"),
+                                         (F.sum("at") / F.sum("n")).alias("mean_pos"), (F.sum("at2") / F.sum("n")).alias("mean_pos2"),
                                          (F.sum("before") / F.sum("n")).alias("before_share"), (F.sum("behind") / F.sum("n")).alias("behind_share")).where("all_n >= 3")
-    kept = known.join(overall, "label").where((F.col("n") + PRIOR_PAGES * F.col("share")) / (F.col("pages") + PRIOR_PAGES) >= MIN_SHARE)
     body = (F.col("before_share") >= BODY_SHARE) & (F.col("behind_share") >= BODY_SHARE)
+    spread = F.sqrt(F.greatest(F.col("mean_pos2") - F.col("mean_pos") * F.col("mean_pos"), F.lit(0.0)))
+    # remarks of articles stand between sentences too: chance on one host must not make a widget of them
+    shared = body & (F.col("hosts") >= MIN_HOSTS)
+    notice = (F.col("hosts") >= MIN_HOSTS) & (F.col("mean_pos") + spread <= TOP) & (F.greatest("before_share", "behind_share") <= APART)
+    by_host = (F.col("n") + PRIOR_PAGES * F.col("share")) / (F.col("pages") + PRIOR_PAGES) >= MIN_SHARE
+    kept = known.join(overall, "label").where(F.when(shared, F.col("share") >= MIN_SHARE).otherwise(by_host | notice))
     kept = kept.select("host", F.struct("pos", "label", body.alias("body"), "is_prefix").alias("node")).where("node.body or not node.is_prefix")
     return kept.groupBy("host").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
 

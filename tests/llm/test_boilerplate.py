@@ -1,7 +1,9 @@
 import itertools
 import random
 
-from lexiloom.llm.boilerplate import frame_lines, simple_tree_matching
+from pyspark.sql import functions as F
+
+from lexiloom.llm.boilerplate import _lines, frame_lines, simple_tree_matching, templates
 
 
 def brute(page, template):
@@ -49,3 +51,37 @@ def test_frame(spark):
     assert {k: got.get(k, set()) for k in truth} == truth
     assert 900 not in got and 901 not in got
     assert frame_lines(df.limit(0)).count() == 0
+
+
+def _six_hosts(size):
+    """Pages of six hosts: a remark inside articles (by chance on 9 % of the pages of one host, else 1 %), a widget there (5 %) and a notice at the top (2 %)."""
+    rnd = random.Random(size)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    rows, remarks, widgets = [], set(), set()
+    for h in range(6):
+        for i in range(100 * size):
+            title = f"{word()} {word()} review"
+            paras = [f"{word()} {word()} {word()} {word()} {word()} went home." for _ in range(5)]
+            key = len(rows)
+            notice = ["Our cookies stay small, fine"] if i % 50 == 0 else []
+            inside = []
+            if i % 100 < (9 if h == 0 else 1):
+                inside, at = [f"{i} years later…"], remarks
+            elif i % 20 == 11:
+                inside, at = ["Advertisement"], widgets
+            lines = ["Menu", *notice, title, paras[0], paras[1], *inside, *paras[2:], "Related posts", f"(c) Host {h}"]
+            if inside:
+                at.add((key, lines.index(inside[0]) + 1))
+            rows.append((key, f"data-extracted/h{h}.example/h{h}_{'_'.join(title.split())}_{i}.txt", f"h{h}.example", "\n".join(lines)))
+    return rows, remarks, widgets
+
+
+def test_constant_nodes_of_the_same_hosts_at_two_sizes(spark):
+    for size in (1, 4):
+        rows, remarks, widgets = _six_hosts(size)
+        df = spark.createDataFrame(rows, "page_id bigint, path string, domain string, text string")
+        got = {(r.page_id, r.line_no) for r in frame_lines(df).collect()}
+        assert not remarks & got and widgets <= got
+        label = spark.range(1).select(_lines(F.lit("Our cookies stay small, fine")).alias("x")).first().x[0].label
+        nodes = templates(df.select(F.col("domain").alias("host"), "path", _lines(F.col("text")).alias("lines"))).collect()
+        assert len(nodes) == 6 and all(any(x.label == label and not x.body for x in r.nodes) for r in nodes)
