@@ -6,7 +6,7 @@ row and its text, and take it apart again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import normalise as N
@@ -291,6 +291,39 @@ def link_full(spark, root):
     return linking.link(table(spark, root, "entities"), table(spark, root, WIKI))
 
 
+#: The fields that the multi-field search can match, over linked rows of page and record; the two derived years are indexed, not searched.
+JOINED = ("title", "tags", "alt_name", "creator", "based_on", "writer", "director", "starring", "music", "producer", "executive_producer", "location", "company", "genre", "wiki_title", "network", "language", "country", "num_episodes")
+JOINED_EXACT = ("num_seasons", "first_aired_year", "last_aired_year")
+_YEAR = "coalesce(regexp_extract({c}, '(^|[^0-9A-Za-z_가-힣])(\\d{{4}})($|[^0-9A-Za-z_가-힣])', 2), '')"
+_JOINED = (f"links AS ({SQL['link_full']}), page AS (SELECT coalesce(url, '') AS url, {_PT.format(c='title')} AS title_clean, title, array_to_string(tags, '|') AS tags, row_number() OVER (PARTITION BY coalesce(url, ''), {_PT.format(c='title')} ORDER BY entity_id) AS n FROM entities), "
+           f"rec AS (SELECT *, row_number() OVER (PARTITION BY wiki_id ORDER BY timestamp DESC NULLS LAST, rec_id DESC) AS rn FROM {WIKI}), "
+           "joined AS (SELECT links.title_clean || chr(9) || links.name AS link, page.title AS title, page.tags AS tags, rec.title AS wiki_title, " + ", ".join(f"rec.{c} AS {c}" for c in (*JOINED, "num_seasons") if c not in ("title", "tags", "wiki_title"))
+           + f", {_YEAR.format(c='rec.first_aired')} AS first_aired_year, {_YEAR.format(c='rec.last_aired')} AS last_aired_year FROM links JOIN page ON page.n = 1 AND page.url = links.url AND page.title_clean = links.title_clean JOIN rec ON rec.rn = 1 AND rec.wiki_id = links.wiki_id)")
+_JOINED_ROWS = " UNION ALL ".join([f"SELECT link, '{f}' AS field, list_filter(string_split(trim(regexp_replace(lower(coalesce({f}, '')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '') AS terms FROM joined" for f in JOINED] + [f"SELECT link, '{f}', list_filter([coalesce({f}, '')], lambda w: w <> '') FROM joined" for f in JOINED_EXACT])
+_JOINED_TERMS = f"{_JOINED}, rows_ AS ({_JOINED_ROWS}), terms AS (SELECT link, field, len(terms) AS len, unnest(terms) AS term FROM rows_), n AS (SELECT link, field, len, term, count(*) AS n FROM terms GROUP BY ALL), stats AS (SELECT field, count(*) AS docs, avg(len) AS avg_len FROM (SELECT DISTINCT field, link, len FROM n) GROUP BY field)"
+
+
+def _joined_terms(spark, root):
+    first = lambda *order: F.row_number().over(Window.partitionBy(*order[0]).orderBy(*order[1:]))
+    page = table(spark, root, "entities").select("entity_id", F.coalesce("url", F.lit("")).alias("url"), N.page_title(F.coalesce("title", F.lit(""))).alias("title_clean"), "title", F.array_join("tags", "|").alias("tags"))
+    page = page.withColumn("_n", first(("url", "title_clean"), "entity_id")).where("_n = 1").select("url", "title_clean", "title", "tags")
+    rec = table(spark, root, WIKI).withColumn("_n", first(("wiki_id",), F.desc_nulls_last("timestamp"), F.desc("rec_id"))).where("_n = 1").withColumnRenamed("title", "wiki_title")
+    rec = rec.withColumns({f"{c}_year": F.coalesce(N.first_year(F.col(c)), F.lit("")) for c in ("first_aired", "last_aired")})
+    x = link_full(spark, root).join(page, ["url", "title_clean"]).join(rec, "wiki_id").withColumn("link", F.concat_ws("\t", "title_clean", "name"))
+    return index.field_terms(x, "link", JOINED, JOINED_EXACT)
+
+
+@query(f"WITH {_JOINED_TERMS}, asked(term) AS (VALUES {', '.join(f'({chr(39)}{t}{chr(39)})' for t in FIELD_QUERY)}), hit AS (SELECT n.* FROM n JOIN asked USING (term) WHERE field NOT LIKE '%_year'), df AS (SELECT field, term, count(*) AS df FROM hit GROUP BY ALL) SELECT link, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * n / (n + 1.2 * (1 - 0.75 + 0.75 * len / avg_len))), 6) AS score FROM hit JOIN df USING (field, term) JOIN stats USING (field) GROUP BY link ORDER BY score DESC, link LIMIT 10")
+def bm25_joined(spark, root):
+    return index.search_fields(_joined_terms(spark, root).where(~F.col("field").endswith("_year")), "link", FIELD_QUERY)
+
+
+@query(f"WITH {_JOINED_TERMS} SELECT field, docs, round(avg_len, 6) AS avg_len FROM stats")
+def joined_field_statistics(spark, root):
+    t = _joined_terms(spark, root)
+    return t.groupBy("field", "link", "len").agg(F.lit(1)).groupBy("field").agg(F.count("*").alias("docs"), F.round(F.avg("len"), 6).alias("avg_len"))
+
+
 BLANKABLE = ("creator", "based_on", "writer", "director", "starring", "music", "budget", "runtime", "genre", "first_aired", "last_aired")
 
 
@@ -344,9 +377,9 @@ def tags_joined(spark, root):
 _BOX = ("creator", "writer", "director", "music", "network", "company", "location", "num_episodes", "language", "country")
 
 
-def _wikitext(spark, root):
+def _wikitext(spark, root, box=_BOX):
     w = table(spark, root, WIKI)
-    rows = [F.concat(F.lit(f"| {'written_by' if c == 'writer' else c} = "), F.coalesce(F.col(c), F.lit("")), F.lit("\n")) for c in _BOX]
+    rows = [F.concat(F.lit(f"| {'written_by' if c == 'writer' else c} = "), F.coalesce(F.col(c), F.lit("")), F.lit("\n")) for c in box]
     text = F.concat(F.lit("Intro.\n{{Infobox television\n"), *rows, F.lit("}}\n\n== Plot ==\n"), F.coalesce("synopsis", F.lit("")), F.lit("\n\n== Cast ==\n* A"))
     return w.select("rec_id", "wiki_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("timestamp", F.lit("")).alias("timestamp"), F.coalesce("username", F.lit("")).alias("username"), text.alias("text"))
 
@@ -363,6 +396,20 @@ def wiki_qualify(spark, root):
     return wikitext.records(_wikitext(spark, root)).select("wiki_id", F.trim("title").alias("title"))
 
 
+@query()
+def wiki_infobox_all(spark, root):
+    """All attributes of a record, read back from an infobox that holds all of them."""
+    x = _wikitext(spark, root, tuple(wikitext.ATTRIBUTES)).withColumn("box", wikitext.infobox(F.col("text")))
+    raw = F.array(*[F.coalesce(*[F.try_element_at("box", F.lit(k)) for k in keys]) for keys in wikitext.ATTRIBUTES.values()])
+    return x.withColumn("values", F.transform(raw, wikitext.clean_value)).select("rec_id", *[F.get("values", i).alias(c) for i, c in enumerate(wikitext.ATTRIBUTES)])
+
+
+@query()
+def wiki_records(spark, root):
+    """All 29 columns of the records that qualify."""
+    return wikitext.records(_wikitext(spark, root, tuple(wikitext.ATTRIBUTES)))
+
+
 @query()
 def wiki_clean(spark, root):
     fields = ("alt_name", "starring", "budget", "runtime", "genre", "first_aired", "last_aired", "synopsis")

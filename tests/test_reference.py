@@ -109,3 +109,24 @@ def test_dump_splits(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(r) == 300 and r["7"].writer == "W7" and r["7"].synopsis == "P7" and r["7"].country == "South Korea" and len(r["7"]) == 29
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_joined_search_has_all_matchable_fields(spark):
+    q = reference.queries()
+    fields = {r.field for r in q["joined_field_statistics"](spark, DATA).collect()}
+    assert {"title", "tags", "wiki_title", "based_on", "producer", "executive_producer", "num_episodes", "num_seasons", "first_aired_year", "last_aired_year"} <= fields
+    assert len(reference.JOINED) + len(reference.JOINED_EXACT) == 22
+    assert q["bm25_joined"](spark, DATA).count() == 10
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_all_attributes_come_back_from_the_infobox(spark):
+    names = list(wikitext.ATTRIBUTES)
+    wiki = spark.read.parquet(f"{DATA}/{reference.WIKI}.parquet")
+    want = {r[0]: r[1:] for r in wiki.select("rec_id", F.transform(F.array(*names), wikitext.clean_value).alias("v")).select("rec_id", *[F.get("v", i) for i in range(len(names))]).collect()}
+    got = reference.queries()["wiki_infobox_all"](spark, DATA)
+    assert len(names) == 24 and got.columns == ["rec_id", *names]
+    assert {r[0]: r[1:] for r in got.collect()} == want
+    records = reference.queries()["wiki_records"](spark, DATA)
+    assert len(records.columns) == 29 and records.count() == reference.queries()["wiki_qualify"](spark, DATA).count()
