@@ -26,16 +26,17 @@ CODE = (
 FORMULA = (
     r"(?is)<(?:math|chem|ce)\b[^>]*>.*?</(?:math|chem|ce)\s*>",
     r"(?s)\\begin\{(?:equation|align|gather|displaymath|math|eqnarray|multline)\*?\}.*?\\end\{(?:equation|align|gather|displaymath|math|eqnarray|multline)\*?\}",
-    r"(?s)\$\$(?=\s*\S).{1,2000}?\$\$",
-    r"(?s)\\\[(?=\s*\S).{1,2000}?\\\]",
-    r"(?s)\\\((?=\s*\S).{1,2000}?\\\)",
-    r"(?<![\\$\w])\$(?=[^\s$])(?=[^$\n]{0,500}[\\^_={}+])[^$\n]{1,500}(?<=[^\s$\\])\$(?![\d$])",
+    # of any length without a blank line inside, as TeX has it; with one up to 2,000 characters
+    r"(?s)\$\$(?=\s*\S)(?:(?:[^$\n]++|\$(?!\$)|\n(?![ \t]*\n))++\$\$|.{1,2000}?\$\$)",
+    r"(?s)\\\[(?=\s*\S)(?:(?:[^\\\n]++|\\(?!\])|\n(?![ \t]*\n))++\\\]|.{1,2000}?\\\])",
+    r"(?s)\\\((?=\s*\S)(?:(?:[^\\\n]++|\\(?!\))|\n(?![ \t]*\n))++\\\)|.{1,2000}?\\\))",
+    r"(?<![\\$\w])\$(?=[^\s$])(?=[^$\n]*[\\^_={}+])[^$\n]++(?<=[^\s$\\])\$(?![\d$])",
 )
 HEADING = (
     r"(?i)<h[1-6]\b[^>]*>",
     r"(?m)^[ \t]*(={2,6})[^=\n]+\1[ \t]*$",
     r"(?m)^[ ]{0,3}#{2,6}[ \t]+\S",
-    r"(?m)^[^\s\-=*>|#][^\n]{0,120}\n(?:={3,}|-{3,})[ \t]*$",
+    r"(?m)^[^\s\-=*>|#][^\n]*+\n(?:={3,}|-{3,})[ \t]*$",
     r"\\(?:part|chapter|(?:sub){0,2}section|paragraph)\*?\{",
 )
 LIST = (
@@ -114,7 +115,7 @@ def clean(col: Column) -> Column:
     def plain(a: Column) -> Column:
         a = _without(a, tuple(FOOTNOTES), "")
         for p, to in ((r"(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]\s*>", "\n\u0002 $1\n"), (r"(?m)^[ \t]*(={2,6})[ \t]*([^=\n]+?)[ \t]*\1[ \t]*$", "\u0002 $2"),
-                      (r"(?m)^[ ]{0,3}#{2,6}[ \t]+([^\n]*?)[ \t]*#*[ \t]*$", "\u0002 $1"), (r"(?m)^([^\s\-=*>|#\u0002][^\n]{0,120})\n(?:={3,}|-{3,})[ \t]*$", "\u0002 $1"),
+                      (r"(?m)^[ ]{0,3}#{2,6}[ \t]+([^\n]*?)[ \t]*#*[ \t]*$", "\u0002 $1"), (r"(?m)^([^\s\-=*>|#\u0002][^\n]*+)\n(?:={3,}|-{3,})[ \t]*$", "\u0002 $1"),
                       (r"\\(?:part|chapter|(?:sub){0,2}section|paragraph)\*?\{([^{}\n]*)\}", "\u0002 $1"),
                       (r"(?m)^#[ \t]*(?=[^#\s])(?=[^\n]*$)", "- "), (r"(?i)<li\b[^>]*>", "\n- "), (r"(?i)</li\s*>|</?(?:ul|ol|dl)\b[^>]*>", ""),
                       (r"(?m)^[ \t]*(?:\*+[ \t]*(?![*\s])(?![^*\n]*\*\*)|\d{1,2}[.)][ \t]+|[+\u2022][ \t]+)", "- "), (r"\\item\b[ \t]*", "- "),
