@@ -1,8 +1,9 @@
 """Quantities written in different units and scales, converted to common units.
 
 Method, pure SQL: regular expressions take out number, scale and unit text; aliases become units by
-joins with small constant alias tables; unit text, sign and source default are coalesced; factor and
-rate are applied in decimal arithmetic. All steps are Spark SQL over the input, without shuffles.
+constant maps in the row (not by the joins with alias tables that the dealt method has); unit text,
+sign and source default are coalesced; factor and rate are applied in decimal arithmetic. All steps
+are Spark SQL over the input, without shuffles.
 """
 
 from __future__ import annotations
@@ -65,6 +66,8 @@ def _number(text: Column) -> Column:
 NUM = r"\d+(?:[.,]\d+)*"
 _SCALE = r"(?:\s*(?:" + _alternatives(SCALES) + r")(?![a-z])\.?)?"
 _CUR = _alternatives(CURRENCY_ALIASES)
+#: Words that leave an amount as it is.
+HEDGES = r"(?<![a-z])(?:about|around|over|under|approx|approximately|circa|ca|c|est|estimated|nearly|almost|roughly|some|more than|less than|up to|at least|between|from)(?![a-z])"
 
 
 def _amount_text(col: Column) -> Column:
@@ -78,11 +81,12 @@ def _amount_text(col: Column) -> Column:
     return squeeze(t)
 
 
-def budgets(df: DataFrame, key: str, field: str, rates: DataFrame) -> DataFrame:
+def budgets(df: DataFrame, key: str, field: str, rates: DataFrame, default: str | None = None) -> DataFrame:
     """Rows ``(key, field, unit, low, high)`` of amounts in won.
 
     ``rates`` (currency, krw_per_unit) joins on the currency code; of repeated codes the highest rate
-    counts. No amount, no known currency, null or blank text: no row.
+    counts. An amount without a currency or any other word is in ``default``, the source's currency; without one, or
+    without an amount, or with null or blank text: no row.
     """
     rate = rates.groupBy(F.upper("currency").alias("cur")).agg(F.max("krw_per_unit").cast("decimal(18,0)").alias("rate"))
     per = r"per[ -]episode|an episode|each episode|a episode|/ ?ep(?:isode)?\b\.?|\bper ep\b\.?|회당|편당|每集"
@@ -93,7 +97,9 @@ def budgets(df: DataFrame, key: str, field: str, rates: DataFrame) -> DataFrame:
     one = r"(?:(" + sign + r")\s*)?(" + NUM + r"(?:e\d+)?)(" + _SCALE + r")\s*(" + sign + r"(?![a-z]))?"
     pair = one + r"(?:\s*(?:-|to|and)\s*" + one + r")?"
     g = [F.regexp_extract("t", r"(?:^|[^a-z0-9$\u20a9\u20ac\u00a3.,])" + pair, i) for i in range(1, 9)]
-    x = x.withColumn("t", F.concat(F.lit(" "), F.col("t"))).select(key, "per", *[c.alias(f"g{i + 1}") for i, c in enumerate(g)])
+    # only an amount without any other word or sign is in the default currency: "12 zlotys" is not
+    bare = ~F.regexp_replace(F.regexp_replace(F.col("t"), pair, " "), HEDGES, " ").rlike(r"[\p{L}\p{Sc}0-9]")
+    x = x.withColumn("t", F.concat(F.lit(" "), F.col("t"))).select(key, "per", bare.alias("bare"), *[c.alias(f"g{i + 1}") for i, c in enumerate(g)])
     x = x.where("g2 <> ''")
 
     def power(text: Column, scale: Column) -> Column:
@@ -106,7 +112,7 @@ def budgets(df: DataFrame, key: str, field: str, rates: DataFrame) -> DataFrame:
     cur = F.lit(None).cast("string")
     for name in ("g1", "g4", "g5", "g8"):
         cur = F.coalesce(cur, F.when(F.col(name) != "", _lookup(CURRENCY_ALIASES, F.col(name), "string")))
-    cur = F.coalesce(cur, F.when(F.concat("g3", "g7").rlike("억|조"), F.lit("KRW")))
+    cur = F.coalesce(cur, F.when(F.concat("g3", "g7").rlike("억|조"), F.lit("KRW")), F.when(F.col("bare"), F.lit(default).cast("string")))
     low, high = _number(F.regexp_replace("g2", r"e\d+$", "")), _number(F.regexp_replace("g6", r"e\d+$", ""))
     p2, p6 = power(F.col("g2"), F.col("g3")), power(F.col("g6"), F.col("g7"))
     x = x.select(key, "per", cur.alias("cur"), low.alias("low"), high.alias("high"),

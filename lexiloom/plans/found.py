@@ -12,6 +12,8 @@ from lexiloom.operators.units import budgets, durations
 from lexiloom.runtime import table
 
 WIKI = "wiki_kdrama_final1_parquet"
+#: Currency of budgets that name none: the records are of South Korean series.
+BUDGET_CURRENCY = "KRW"
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
@@ -22,7 +24,7 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """Budgets in won and runtimes in seconds."""
     wiki = table(spark, root, WIKI)
-    return budgets(wiki, "rec_id", "budget", table(spark, root, "fx_rates")).unionByName(durations(wiki, "rec_id", "runtime"))
+    return budgets(wiki, "rec_id", "budget", table(spark, root, "fx_rates"), BUDGET_CURRENCY).unionByName(durations(wiki, "rec_id", "runtime"))
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:

@@ -25,3 +25,11 @@ def test_budgets(spark):
     r = budgets(spark.createDataFrame([(1, "between 20.6 and 28.6 billion won"), (2, "₩1.5–5.5 billion/ep"), (3, "US$4 million to US$13 million")], "rec_id bigint, budget string"), "rec_id", "budget", rates)
     assert sorted((x.low, x.high) for x in r.collect()) == [(1500000000, 5500000000), (5240000000, 17030000000), (20600000000, 28600000000)]
     assert budgets(df.limit(0), "rec_id", "budget", rates).count() == 0
+
+
+def test_budget_without_currency_takes_the_default(spark):
+    rates = spark.createDataFrame([("KRW", 1), ("USD", 1310)], "currency string, krw_per_unit bigint")
+    df = spark.createDataFrame([(1, "3.5 billion"), (2, "2 million dollars"), (3, "unknown"), (4, "1.5-2 billion per episode"), (5, "12 zlotys"), (6, "see note 3"), (7, "about 900,000 (est.)")], "rec_id bigint, budget string")
+    got = {(r.rec_id, r.unit, r.low, r.high) for r in budgets(df, "rec_id", "budget", rates, "KRW").collect()}
+    assert got == {(1, "krw", 3_500_000_000, 3_500_000_000), (2, "krw", 2_620_000_000, 2_620_000_000), (4, "krw_per_episode", 1_500_000_000, 2_000_000_000), (7, "krw", 900_000, 900_000)}
+    assert {r.rec_id for r in budgets(df, "rec_id", "budget", rates).collect()} == {2}
