@@ -32,9 +32,13 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; only a session without one gets a local folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get(CHECKPOINT_CONF, None) or LOCAL_CHECKPOINT_DIR)
+    """Use the shared folder the cluster names; a local session without one gets a folder of its own, a cluster without one fails."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get(CHECKPOINT_CONF, None)
+        if named is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError(f"{CHECKPOINT_CONF} is not set: a cluster needs a shared folder")
+        context.setCheckpointDir(named or LOCAL_CHECKPOINT_DIR)
 
 
 def cut(df: DataFrame) -> DataFrame:

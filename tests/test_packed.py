@@ -1,4 +1,5 @@
-from lexiloom.operators.packed import resolve_skeleton, unpack
+from lexiloom.operators import packed
+from lexiloom.operators.packed import evidence, resolve_skeleton, unpack
 
 FIELDS = ("alt_name", "starring", "genre")
 
@@ -44,6 +45,33 @@ def test_edges(spark):
 
 
 def test_rules():
-    assert resolve_skeleton("starring", "w,w&w") == ("&,", False)
-    assert resolve_skeleton("genre", "w&w") == ("", False)
-    assert resolve_skeleton("alt_name", "w,u") == (",", True)
+    assert resolve_skeleton("starring", "w,w&w", {}) == "01010"
+    assert resolve_skeleton("genre", "u&u,w", {}) == "00010"
+    assert resolve_skeleton("alt_name", "w,u", {}) == "000"
+    assert resolve_skeleton("alt_name", "w,u", {"w": 50, "u": 50}) == "010"
+    assert resolve_skeleton("alt_name", "w,w", {"w": 3, "w,w": 40}) == "000"
+    assert resolve_skeleton("alt_name", "w,h,w,k", {"w": 90, "k": 50, "h,w": 9, "w,u": 9}) == "0100010"
+    assert resolve_skeleton("alt_name", "Q,w", {"w": 9}) == "010"
+    assert evidence("alt_name", "w,u/k") == ["w,u", "k"] and evidence("alt_name", "w,u") == [] and evidence("alt_name", "w,w,w,w;k") == ["k"]
+
+
+STRUCTURE = [("starring", "Kim, Soo-hyun; Lee, Min-ho", ["Kim, Soo-hyun", "Lee, Min-ho"]), ("genre", "Sci-fi, action; drama", ["Sci-fi, action", "drama"]),
+             ("alt_name", "Oh, My Venus / Omg", ["Oh, My Venus", "Omg"]), ("alt_name", "Hi, My Sweetheart", ["Hi, My Sweetheart"]), ("alt_name", "Goodbye, My Princess | Dong Gong", ["Goodbye, My Princess", "Dong Gong"])]
+
+
+def test_commas_are_decided_by_structure(spark):
+    for f, text, want in STRUCTURE:
+        assert names(spark, [(1, *[text if f == x else None for x in FIELDS], "")]) == {(1, f): want}
+
+
+def test_openers_and_evidence_are_learned(spark):
+    rows = [(i, t, None, None, "") for i, t in enumerate(["Ahoy, Red Lamp / 가나", "Ahoy, Blue Door / 다라", "Old Yacht, Frost / 마바", "Rosy Vault, Debt / 사아", "Green Hat; Grey Cat", "New Song, Ahoy, Tall Tree", "Big Dog, Thirst, Tall Tree"])]
+    got = names(spark, rows)
+    assert got[5, "alt_name"] == ["New Song", "Ahoy, Tall Tree"] and got[6, "alt_name"] == ["Big Dog, Thirst", "Tall Tree"]
+
+
+def test_rules_decide_rows(spark, monkeypatch):
+    rows = [(1, "Ahoy, Red Lamp / 가나", "Kim, Soo-hyun; Lee, Min-ho", None, "")]
+    before = names(spark, rows)
+    monkeypatch.setattr(packed, "resolve_skeleton", lambda f, s, seen: "".join("1" if c in "N,;|dcsom/" else "0" for c in s))
+    assert names(spark, rows) != before
