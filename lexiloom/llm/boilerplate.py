@@ -1,159 +1,235 @@
 """Page frames told from articles by wrapper induction over pages of one host.
 
-A page is an ordered tree of lines. Line labels (digits masked) are counted per host over distinct
-paths; labels that return on many pages become the constant nodes of the host's template, in their
-mean order, the rest are slots. What lies before the headline, from the first constant node behind
-the last paragraph on, and constant nodes and widgets inside the article is frame; the rest is the
-article. Whether a line is a constant node is membership in the template, not alignment: the same
-box stands several times and at several places of a page, which an order-keeping matching (each node
-once) leaves in slots. Simple tree matching decides only where pages without a paragraph begin.
-
-Scale: the counts shuffle fixed-width hashes, pre-aggregated, so a host with a third of all pages
-spreads over its labels. A host's template holds labels of at least ``MIN_SHARE`` of its pages, so
-its size is bounded by lines per page / MIN_SHARE whatever the number of pages. Pages aren't
-shuffled by host: the templates join without a hint, so they are broadcast only if small.
+A page is an ordered tree: root, lines, words. A host's template is a tree too: head, article slot
+and foot in this order, with the host's constant nodes below them; the slot's own constant nodes are
+widgets, which may stand anywhere in it. A page is aligned with the template of its host:
+
+* A line matches a node of the same label (digits masked) or opening (up to a colon), or a node with which simple tree matching
+  (largest order-keeping matching of children) pairs all of its words (menus cut short).
+* The root's children keep their order, the boxes inside head and foot may swap places: the page is
+  cut in three so that the head has the most lines matched by head nodes, the foot the most matched
+  by foot nodes and their lists, and the slot the most text that varies.
+* What the slot holds is the article, but for widgets. A line that looks like a head or foot node but
+  stays unmatched inside the slot is article.
+
+Where two beginnings are about as good, a line that repeats the page's file name is the headline.
+
+Constant nodes come from counts over all pages: labels are counted per host, region and distinct
+path. The region of a line is taken from the varying sentences of its page: before the line above the
+first, after the last, or between.
+
+Scale: lines are made once, as hashes, and written to the checkpoint folder; texts are read once and
+never shuffled. The counts combine before the shuffle, so a host with a third of all pages spreads
+over its labels. A host's template holds labels of at least ``MIN_SHARE`` of its pages (in the head
+``RARE`` of several hosts' pages), so its size is bounded by lines per page / RARE whatever the number
+of pages. Pages aren't shuffled by host: the templates join without a hint, so they are broadcast only
+if small.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.domains import site_key
-from lexiloom.functions.text import squeeze
+from lexiloom.runtime import cut
 
 #: Share of a host's pages from which a label is a constant node, and the weight (in pages) of its share over all hosts that know it.
 MIN_SHARE, PRIOR_PAGES = 0.033, 300
-#: Share of a widget's neighbours before and behind that are sentences.
-BODY_SHARE = 0.4
-#: Hosts from which a label's share and place are judged over all hosts; a label that keeps to the top of pages
-#: (mean and spread of its place) and, but for this share of its pages, apart from sentences is constant however rare it is.
-MIN_HOSTS, TOP, APART = 3, 0.25, 0.05
+#: Hosts from which a label is judged over all hosts; the share of its lines in the head, and of the hosts' pages, from which it is a head node.
+MIN_HOSTS, APART, RARE = 3, 0.95, 0.002
+#: Worth of a matched node, of a varying sentence and of the headline's likeness to the file name; other varying lines count by length up to LINE.
+NODE, SENTENCE, LIKENESS, LINE = 1.5, 2.0, 1.5, 0.9
+MOST_WORDS = 16
+
+_BLANKS = re.compile(r"[\s  -​  　﻿]+")
+_DIGITS = re.compile(r"\d[\d.,]*")
+_PREFIX = re.compile(r"([^\s:»]+(?: [^\s:»]+){0,3}\s?[:»]) ")
+_END = re.compile(r"[.!?。！？][\"”'’」』)]?$")
+_OPEN = re.compile(r"(?:\.\.\.|\?|？|…)$")
+_PARTS = re.compile(r"[^\w#]+")
+_WORD = re.compile(r"\w+")
+_WIDE = re.compile(r"[぀-ヿ㐀-鿿]")
+
+PAGE = "page_id bigint, host string, path bigint, line_no array<int>, label array<bigint>, prefix array<bigint>, sentence array<boolean>, size array<int>, alike array<boolean>, words array<array<bigint>>"
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def lines_of(text: str, stem: str) -> list[tuple]:
+    """(line_no, label, prefix, sentence, size, alike, words) of the non-blank lines of a text."""
+    name = set(_WORD.findall(stem.lower().replace("_", " ")))
+    out = []
+    for i, raw in enumerate(text.split("\n")):
+        s = _BLANKS.sub(" ", raw).strip()
+        if not s:
+            continue
+        label = _DIGITS.sub("#", s)
+        prefix = _PREFIX.match(label)
+        sentence = bool(_END.search(s)) and not _OPEN.search(s) and (s.count(" ") >= 3 or len(_WIDE.findall(s)) >= 10)
+        parts = [p for p in _PARTS.split(label) if p]
+        short = len(parts) <= MOST_WORDS
+        words = [w for w in _WORD.findall(s.lower().replace("_", " "))] if short and not sentence else []
+        alike = bool(words) and bool(name) and sum(w in name for w in words) >= 0.6 * len(words)
+        out.append((i + 1, _hash(label), _hash("\0" + prefix.group(1)) if prefix else 0, sentence, len(s), alike, [_hash(p) for p in parts] if short and len(parts) > 1 and not sentence else []))
+    return out
+
 
-LINE = "struct<line_no:int,label:bigint,prefix:bigint,sentence:boolean,text:string>"
+def _read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in PAGE.split(", ")]
+    for whole in batches:
+        for lo in range(0, len(whole), 1000):
+            rows = []
+            for key, host, path, stem, text in whole.iloc[lo:lo + 1000][["page_id", "host", "path", "stem", "text"]].itertuples(index=False):
+                found = lines_of(text, stem or "")
+                if found:
+                    rows.append((key, host, _hash(path) if path else key, *map(list, zip(*found))))
+            yield pd.DataFrame(rows, columns=names)
 
 
-def _lines(text: Column) -> Column:
-    """Non-blank lines with number, label hash, prefix hash and whether they read as a sentence."""
-    numbered = F.transform(F.split(text, "\n", -1), lambda s, i: F.struct((i + 1).cast("int").alias("line_no"), squeeze(s).alias("text")))
+def page_lines(df: DataFrame) -> DataFrame:
+    """The pages (page_id, path, domain, text) as trees of hashes, without pages that have no line."""
+    site = F.regexp_replace(F.col("path"), r"^.*?data-extracted/", "")
+    host = F.coalesce(site_key(F.split_part("path", F.lit("/"), F.lit(-2))), site_key(F.col("domain")), site_key(F.split_part(site, F.lit("/"), F.lit(1))), F.lit(""))
+    stem = F.regexp_replace(F.element_at(F.split(F.coalesce("path", F.lit("")), "/"), -1), r"\.[a-z]+$", "")
+    return df.where(F.col("text").rlike(r"\S")).select("page_id", host.alias("host"), "path", stem.alias("stem"), "text").mapInPandas(_read, PAGE)
 
-    def node(x: Column) -> Column:
-        label = F.regexp_replace(x["text"], r"\d[\d.,]*", "#")
-        prefix = F.regexp_extract(label, r"^([^\s:»]+(?: [^\s:»]+){0,3}\s?[:»]) ", 1)
-        words = F.size(F.split(x["text"], " "))
-        sentence = x["text"].rlike(r"[.!?。][\"”']?$") & ~x["text"].rlike(r"(?:\.\.\.|\?|…)$") & (words >= 4)
-        return F.struct(x["line_no"], F.xxhash64(label).alias("label"), F.when(prefix != "", F.xxhash64(prefix, F.lit("prefix"))).otherwise(F.lit(0).cast("bigint")).alias("prefix"), sentence.alias("sentence"), x["text"])
 
-    return F.transform(F.filter(numbered, lambda x: x["text"] != ""), node)
+def with_varying(pages: DataFrame) -> DataFrame:
+    """Add ``varying`` to pages: which lines are sentences that don't return on their host or over hosts."""
+    sizes = pages.groupBy("host").agg(F.countDistinct("path").alias("pages"))
+    counts = pages.select("host", F.explode(F.filter(F.arrays_zip("label", "sentence"), lambda x: x["sentence"])).alias("x")).groupBy("host", F.col("x.label").alias("label")).agg(F.count("*").alias("n")).where("n > 1").join(sizes, "host")
+    overall = counts.groupBy("label").agg((F.sum("n") / F.sum("pages")).alias("share"), F.count("*").alias("hosts"))
+    again = counts.join(overall, "label").where((F.col("n") > 2) & (F.col("n") >= MIN_SHARE * F.col("pages")) | (F.col("hosts") >= MIN_HOSTS) & (F.col("share") >= MIN_SHARE / 4))
+    again = again.groupBy("host").agg(F.collect_set("label").alias("again"))
+    varying = F.transform("sentence", lambda s, i: s & ~F.array_contains(F.coalesce("again", F.array().cast("array<bigint>")), F.get("label", i)))
+    return pages.join(again, "host", "left").withColumn("varying", varying).drop("again", "sentence")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, nodes): the constant nodes of each host in their mean order, from pages (host, path, lines)."""
-    n = F.size("lines")
-    around = F.transform("lines", lambda x, i: F.struct(
-        x["label"].alias("label"), x["prefix"].alias("prefix"), (i / n).alias("pos"),
-        F.coalesce(F.get(F.col("lines"), i - 1)["sentence"], F.lit(False)).cast("int").alias("before"),
-        F.coalesce(F.get(F.col("lines"), i + 1)["sentence"], F.lit(False)).cast("int").alias("behind")))
-    nodes = pages.select("host", F.xxhash64("path").alias("path"), F.explode(around).alias("x"))
-    both = nodes.select("host", "path", "x.pos", "x.before", "x.behind", F.explode(F.array(
-        F.struct(F.col("x.label").alias("label"), F.lit(False).alias("is_prefix")), F.struct(F.col("x.prefix").alias("label"), F.lit(True).alias("is_prefix")))).alias("l"))
-    both = both.select("host", "path", "pos", "before", "behind", "l.label", "l.is_prefix").where("label is not null and label <> 0")
-    per_page = both.groupBy("host", "label", "is_prefix", "path").agg(F.avg("pos").alias("pos"), F.avg("before").alias("before"), F.avg("behind").alias("behind"))
-    per_host = per_page.groupBy("host", "label", "is_prefix").agg(F.count("*").alias("n"), F.avg("pos").alias("pos"), F.sum("pos").alias("at"), F.sum(F.col("pos") * F.col("pos")).alias("at2"), F.sum("before").alias("before"), F.sum("behind").alias("behind"))
+    """(host, nodes): the constant nodes of each host, from the trees of its pages; of a node: place, label, words and whether it belongs to head, foot or slot."""
     sizes = pages.groupBy("host").agg(F.countDistinct("path").alias("pages"))
-    known = per_host.join(sizes, "host")
-    overall = known.groupBy("label").agg((F.sum("n") / F.sum("pages")).alias("share"), F.sum("n").alias("all_n"), F.count("*").alias("hosts"),
-                                         (F.sum("at") / F.sum("n")).alias("mean_pos"), (F.sum("at2") / F.sum("n")).alias("mean_pos2"),
-                                         (F.sum("before") / F.sum("n")).alias("before_share"), (F.sum("behind") / F.sum("n")).alias("behind_share")).where("all_n >= 3")
-    body = (F.col("before_share") >= BODY_SHARE) & (F.col("behind_share") >= BODY_SHARE)
-    spread = F.sqrt(F.greatest(F.col("mean_pos2") - F.col("mean_pos") * F.col("mean_pos"), F.lit(0.0)))
-    # remarks of articles stand between sentences too: chance on one host must not make a widget of them
-    shared = body & (F.col("hosts") >= MIN_HOSTS)
-    notice = (F.col("hosts") >= MIN_HOSTS) & (F.col("mean_pos") + spread <= TOP) & (F.greatest("before_share", "behind_share") <= APART)
+    x = pages.select("host", "path", "label", "prefix", "words", "alike", F.col("varying").alias("v")).where(F.array_contains("v", True))
+    x = x.withColumns({"first": F.array_position("v", True) - 1, "last": F.size("v") - F.array_position(F.reverse("v"), True), "n": F.size("v")})
+
+    def region(i: Column) -> Column:
+        return F.when((i < F.col("first") - 1) & ~F.get("alike", i), "head").when(i > F.col("last"), "foot").when(i >= F.col("first"), "slot")
+
+    def node(label: Column, i: Column) -> Column:
+        return F.struct(label.alias("label"), region(i).alias("region"), (i / F.col("n")).alias("pos"), F.when(region(i) == "head", F.get("words", i)).alias("words"))
+
+    def named(prefix: Column, i: Column) -> Column:
+        place = F.when(i < F.col("first") - 1, "head").when(i < F.col("first"), "above").when(i > F.col("last"), "list").otherwise("slot")
+        return F.struct(prefix.alias("label"), place.alias("region"), (i / F.col("n")).alias("pos"), F.lit(None).cast("array<bigint>").alias("words"))
+
+    both = F.concat(F.transform("label", node), F.filter(F.transform("prefix", named), lambda p: p["label"] != 0))
+    both = F.filter(both, lambda p: p["region"].isNotNull())
+    nodes = x.select("host", "path", F.explode(both).alias("x")).groupBy("host", "x.label", "x.region", "path").agg(F.avg("x.pos").alias("pos"), F.first("x.words").alias("words"))
+    per_host = nodes.groupBy("host", "label", "region").agg(F.count("*").alias("n"), F.avg("pos").alias("pos"), F.first("words").alias("words")).join(sizes, "host")
+    overall = per_host.groupBy("label", "region").agg((F.sum("n") / F.sum("pages")).alias("share"), F.sum("n").alias("all_n"), F.count("*").alias("hosts"))
+    lines = per_host.groupBy("label").agg(F.sum("n").alias("lines"))
+    known = per_host.join(overall.join(lines, "label"), ["label", "region"])
     by_host = (F.col("n") + PRIOR_PAGES * F.col("share")) / (F.col("pages") + PRIOR_PAGES) >= MIN_SHARE
-    kept = known.join(overall, "label").where(F.when(shared, F.col("share") >= MIN_SHARE).otherwise(by_host | notice))
-    kept = kept.select("host", F.struct("pos", "label", body.alias("body"), "is_prefix").alias("node")).where("node.body or not node.is_prefix")
-    return kept.groupBy("host").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
-
-
-def simple_tree_matching(page: list[int], template: list[int]) -> list[bool]:
-    """Which children of the page's root match a child of the template's root in a largest order-keeping matching."""
-    place: dict[int, list[int]] = {}
-    for j, x in enumerate(template):
-        place.setdefault(x, []).append(j)
-    rows = [i for i, x in enumerate(page) if x in place]
-    m = len(template)
-    table = [[0] * (m + 1)]
-    for i in rows:
-        prev = table[-1]
-        cur = prev[:]
-        hits = set(place[page[i]])
-        for j in range(m):
-            best = cur[j] if cur[j] > prev[j + 1] else prev[j + 1]
-            if j in hits and prev[j] + 1 > best:
-                best = prev[j] + 1
-            cur[j + 1] = best
-        table.append(cur)
-    out, j = [False] * len(page), m
-    for k in range(len(rows), 0, -1):
-        while j and table[k][j] == table[k][j - 1]:
-            j -= 1
-        if table[k][j] != table[k - 1][j]:
-            out[rows[k - 1]] = True
-            j -= 1
+    # remarks of articles stand between sentences too: chance on one host must not make a widget of them
+    slot = F.when(F.col("hosts") >= MIN_HOSTS, F.col("share") >= MIN_SHARE).otherwise(by_host & (F.col("n") > 2))
+    apart = lambda share: F.col("all_n") >= share * F.col("lines")
+    head = by_host & (F.col("n") > 1) & apart(0.5) | (F.col("hosts") >= MIN_HOSTS) & apart(APART) & (F.col("share") >= RARE)
+    kept = known.where(F.when(F.col("region") == "slot", slot).when(F.col("region") == "head", head).when(F.col("region") == "foot", by_host & (F.col("n") > 1)).otherwise(False))
+    return kept.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("pos", "label", "region", "words"))).alias("nodes"))
+
+
+def simple_tree_matching(line: list[int], node: list[int]) -> int:
+    """Size of the largest order-keeping matching of the words of a line and of a node."""
+    row = [0] * (len(node) + 1)
+    for x in line:
+        before = 0
+        for j, y in enumerate(node):
+            before, row[j + 1] = row[j + 1], max(before + (x == y), row[j + 1], row[j])
+    return row[-1]
+
+
+class Template:
+    """A host's constant nodes, ready for matching."""
+
+    def __init__(self, nodes: list[dict]) -> None:
+        self.slot, self.head, self.foot = ({x["label"] for x in nodes if x["region"] == r} for r in ("slot", "head", "foot"))
+        self.menus = [list(x["words"]) for x in nodes if x["region"] == "head" and x["words"] is not None and len(x["words"]) > 1]
+        self.words = {w for m in self.menus for w in m}
+        self.seen: dict[int, bool] = {}
+
+    def in_head(self, label: int, prefix: int, words: list[int]) -> bool:
+        """Whether a line matches a head node by its label or the opening before a colon, else by its words."""
+        if label in self.head or prefix in self.head:
+            return True
+        if len(words) < 2:
+            return False
+        found = self.seen.get(label)
+        if found is None:
+            if len(self.seen) > 100_000:
+                self.seen.clear()
+            found = self.seen[label] = all(w in self.words for w in words) and any(simple_tree_matching(words, m) == len(words) for m in self.menus)
+        return found
+
+
+def matched(lines: list[bool]) -> list[int]:
+    """Number of matched lines of each beginning."""
+    out = [0]
+    for x in lines:
+        out.append(out[-1] + x)
     return out
 
 
-_WORD = re.compile(r"[a-z0-9]+")
-
-
-def frame(lines: list[dict], nodes: list[dict], stem: str) -> list[int]:
+def frame(page: dict, template: Template) -> list[int]:
     """Numbers of the lines of a page that are frame."""
-    if not len(lines):
-        return []
-    fixed = [x["label"] for x in nodes if not x["body"]]
-    widgets = {x["label"] for x in nodes if x["body"]}
-    constant = set(fixed)
-    labels = [x["label"] for x in lines]
-    matched = simple_tree_matching(labels, fixed)
-    widget = [x["label"] in widgets or x["prefix"] in widgets for x in lines]
-    para = [bool(x["sentence"]) and x["label"] not in constant and not w for x, w in zip(lines, widget)]
-    slug = set(_WORD.findall(stem.lower()))
-    head, best = None, 0.0
-    first = next((i for i, p in enumerate(para) if p), None)
-    for i, x in enumerate(lines):
-        if para[i] or widget[i]:
-            continue
-        words = [w for w in _WORD.findall(x["text"].lower())]
-        if not words or not any(para[i + 1:i + 4]):
-            continue
-        score = sum(w in slug for w in words) / len(words) + 0.001 * min(len(words), 50)
-        if score > best + 1e-9 and score >= 0.6:
-            head, best = i, score
-    if head is None:
-        if first is None:
-            unmatched = [i for i, m in enumerate(matched) if not m and not widget[i]]
-            head = unmatched[0] if unmatched else len(lines)
-        else:
-            head = first
-            while head and widget[head - 1]:
-                head -= 1
-            head = max(0, head - 1)
-    last = max((i for i, p in enumerate(para) if p and i > head), default=head)
-    tail = next((i for i in range(last + 1, len(lines)) if (matched[i] or labels[i] in constant) and not widget[i]), len(lines))
-    return [x["line_no"] for i, x in enumerate(lines) if i < head or i >= tail or i > head and (widget[i] or labels[i] in constant)]
+    labels = list(page["label"])
+    n = len(labels)
+    heads = [template.in_head(x, p, list(w)) for x, p, w in zip(labels, page["prefix"], page["words"])]
+    feet = [x in template.foot for x in labels]
+    widget = [x in template.slot or p in template.slot for x, p in zip(labels, page["prefix"])]
+    before, behind = matched(heads), matched(feet[::-1])[::-1]
+    worth = [NODE if w else 0.0 if h or f else SENTENCE if s else min(LINE, size / 150) for w, h, f, s, size in zip(widget, heads, feet, page["varying"], page["size"])]
+    # lists of titles behind a foot node are its slots: there they are worth as much as in the article
+    lists, listed = [0.0] * (n + 1), [0.0] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        lists[i] = lists[i + 1] + (worth[i] if not widget[i] and not page["varying"][i] else 0.0)
+    for t in range(n - 1, -1, -1):
+        listed[t] = lists[t] if feet[t] else 0.0
+    total = [0.0]
+    for v in worth:
+        total.append(total[-1] + v)
+    # best beginning up to each end: cuts h <= t
+    best_h, at, best, cut_at = -1.0, 0, -1.0, (n, n)
+    for t in range(n + 1):
+        if t < n or n == 0:
+            gain = NODE * before[t] - total[t] + (LIKENESS if t < n and page["alike"][t] and not heads[t] else 0.0)
+            if gain > best_h + 1e-9 or t == 0:
+                best_h, at = gain, t
+        value = best_h + total[t] + NODE * behind[t] + listed[t]
+        if value > best + 1e-9:
+            best, cut_at = value, (at, t)
+    h, t = cut_at
+    return [int(x) for i, x in enumerate(page["line_no"]) if i < h or i >= t or widget[i]]
 
 
 def _align(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known: dict[str, Template] = {}
     for pdf in batches:
         ids, numbers = [], []
-        for key, lines, nodes, stem in zip(pdf["page_id"], pdf["lines"], pdf["nodes"], pdf["stem"]):
-            found = frame(list(lines), [] if nodes is None else list(nodes), stem or "")
-            ids += [key] * len(found)
+        for page in pdf.to_dict("records"):
+            template = known.get(page["host"])
+            if template is None:
+                if len(known) > 500:
+                    known.clear()
+                template = known[page["host"]] = Template([] if page["nodes"] is None else list(page["nodes"]))
+            found = frame(page, template)
+            ids += [page["page_id"]] * len(found)
             numbers += found
         yield pd.DataFrame({"page_id": pd.Series(ids, dtype="int64"), "line_no": pd.Series(numbers, dtype="int32")})
 
@@ -164,9 +240,6 @@ def frame_lines(df: DataFrame) -> DataFrame:
     Blank lines never count. Null and blank texts give no row; pages of unknown hosts share one
     template; repeated pages are judged each, but count once in their host's template.
     """
-    site = F.regexp_replace(F.col("path"), r"^.*?data-extracted/", "")
-    pages = df.select("page_id", "path", F.coalesce(site_key(F.split_part("path", F.lit("/"), F.lit(-2))), site_key(F.col("domain")), site_key(F.split_part(site, F.lit("/"), F.lit(1))), F.lit("")).alias("host"),
-                      F.regexp_replace(F.element_at(F.split(F.coalesce("path", F.lit("")), "/"), -1), r"\.[a-z]+$", "").alias("stem"), _lines(F.col("text")).alias("lines"))
-    pages = pages.where(F.size("lines") > 0)
-    joined = pages.join(templates(pages), "host", "left").select("page_id", "lines", "nodes", "stem")
+    pages = with_varying(cut(page_lines(df)))
+    joined = pages.join(templates(pages), "host", "left").drop("path")
     return joined.mapInPandas(_align, "page_id bigint, line_no int")
