@@ -13,8 +13,9 @@
 5. A word alignment of candidate and item decides: matched words at least a third of the item's, at
    most one word in seven changed, left out or added.
 
-Scale: broadcast are only the items' terms and the latent basis; both are bounded by the evaluation
-set (``MAX_TERMS`` is enforced). Documents shrink to their term hits in the first scan, which are
+Scale: broadcast are only the items' terms and the latent basis of one block of items; both are bounded
+by ``MAX_TERMS``, larger evaluation sets go in several blocks. Sums of the decomposition come from as
+many tasks as the cluster has cores. Windows meet item passages over shared terms. Documents shrink to their term hits in the first scan, which are
 written to the checkpoint folder; texts are never shuffled. Hot sources don't matter: nothing is
 grouped by source.
 """
@@ -80,11 +81,23 @@ def item_terms(items: list[tuple[int, list[str]]]) -> dict[tuple[str, str], int]
     for _, words in items:
         for pair in zip(words, words[1:]):
             terms.setdefault(pair, len(terms))
-    if len(terms) > MAX_TERMS:
-        raise ValueError(f"the items have {len(terms)} terms; at most {MAX_TERMS} are broadcast")
     return terms
 
 
+def blocks_of(items: list[tuple[int, list[str]]], most: int = MAX_TERMS) -> list[list[tuple[int, list[str]]]]:
+    """The items in blocks of at most ``most`` word pairs; an item with more is a block of its own."""
+    out: list[list[tuple[int, list[str]]]] = []
+    room = 0
+    for item in items:
+        size = len(item[1]) - 1
+        if size > room or not out:
+            out.append([])
+            room = most
+        out[-1].append(item)
+        room -= size
+    return out
+
+
 def hits(df: DataFrame, terms) -> DataFrame:
     """(doc_id, n_words, pos, term): where a document holds terms; one row for each document, nulls and blanks included."""
 
@@ -106,26 +119,23 @@ def hits(df: DataFrame, terms) -> DataFrame:
     return df.select("doc_id", "text").mapInPandas(run, "doc_id bigint, n_words int, pos array<int>, term array<int>")
 
 
-def _passages(n_words: Iterable[int], pos: Iterable[np.ndarray], term: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _passages(pos: Iterable[np.ndarray], term: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows of all windows with terms: (text, start, row offsets, terms), each term once per window."""
-    text, start, offset, cols = [], [], [0], []
-    for k, (n, p, t) in enumerate(zip(n_words, pos, term)):
-        if not len(p):
-            continue
-        p, t = np.asarray(p), np.asarray(t)
-        seen = set()
-        for a in {int(x) // STRIDE for x in p}:
-            seen.update(range(max(0, a - WINDOW // STRIDE + 1), a + 1))
-        for a in sorted(seen):
-            s = a * STRIDE
-            lo, hi = np.searchsorted(p, (s, s + WINDOW - 1))
-            if hi > lo:
-                u = np.unique(t[lo:hi])
-                text.append(k)
-                start.append(s)
-                cols.append(u)
-                offset.append(offset[-1] + len(u))
-    return np.array(text, np.int64), np.array(start, np.int64), np.array(offset, np.int64), np.concatenate(cols) if cols else np.array([], np.int64)
+    pos, term = ([np.asarray(x, np.int64) for x in xs] for xs in (pos, term))
+    owner = np.repeat(np.arange(len(pos)), [len(p) for p in pos])
+    if not len(owner):
+        return owner, owner, np.zeros(1, np.int64), owner
+    p, t = np.concatenate(pos), np.concatenate(term)
+    most, n_terms = p.max() // STRIDE + 1, t.max() + 1
+    keys = []
+    for back in range(-(-(WINDOW - 1) // STRIDE)):
+        a = p // STRIDE - back
+        ok = (a >= 0) & (p - a * STRIDE < WINDOW - 1)
+        keys.append(((owner[ok] * most + a[ok]) * n_terms) + t[ok])
+    key = np.unique(np.concatenate(keys))
+    window, cols = key // n_terms, key % n_terms
+    first = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
+    return window[first] // most, window[first] % most * STRIDE, np.r_[first, len(cols)], cols
 
 
 def _rows(offset: np.ndarray, cols: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -166,7 +176,7 @@ def _gram_times(found: DataFrame, idf: np.ndarray, m: np.ndarray) -> np.ndarray:
         w, x = shared.value
         total: dict[int, np.ndarray] = {}
         for pdf in batches:
-            _, _, offset, cols = _passages(pdf["n_words"], pdf["pos"], pdf["term"])
+            _, _, offset, cols = _passages(pdf["pos"], pdf["term"])
             if not len(cols):
                 continue
             vals = _rows(offset, cols, w).astype(np.float32)
@@ -174,12 +184,17 @@ def _gram_times(found: DataFrame, idf: np.ndarray, m: np.ndarray) -> np.ndarray:
                 total[t] = total[t] + z if t in total else z
         yield pd.DataFrame({"term": pd.Series(list(total), dtype="int32"), "z": [z.astype(np.float32) for z in total.values()]})
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"term": [pdf["term"].iloc[0]], "z": [np.sum(np.stack(pdf["z"].tolist()), 0)]})
+    def add(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for t, z in zip(pdf["term"], pdf["z"]):
+                total[t] = total[t] + z if t in total else np.asarray(z, np.float64)
+        yield pd.DataFrame({"term": pd.Series(list(total), dtype="int32"), "z": list(total.values())})
 
-    parts = found.where("size(pos) > 0").mapInPandas(run, "term int, z array<float>")
+    # every task gives up to one row a term: as many tasks as cores, not as input files
+    parts = found.where("size(pos) > 0").coalesce(found.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "term int, z array<float>")
     out = np.zeros(m.shape)
-    for r in parts.groupBy("term").applyInPandas(add, "term int, z array<float>").toPandas().itertuples():
+    for r in parts.repartition("term").mapInPandas(add, "term int, z array<double>").toPandas().itertuples():
         out[r.term] = r.z
     return out
 
@@ -233,29 +248,50 @@ def bounded(pos: list[np.ndarray], term: list[np.ndarray], held: tuple[np.ndarra
     return key[i] // len(ids), ids[item[i]], at[i]
 
 
+def sharing(offset: np.ndarray, cols: np.ndarray, of_term: tuple[np.ndarray, np.ndarray], n_passages: int, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(row, passage): the item passages that share ``least`` terms with each sparse row, each once."""
+    first, passages = of_term
+    size = first[cols + 1] - first[cols]
+    row = np.repeat(np.repeat(np.arange(len(offset) - 1), np.diff(offset)), size)
+    at = passages[np.repeat(first[cols] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+    key = np.sort(row * n_passages + at)
+    # each term stands once in a row and in a passage: equal keys are shared terms
+    key = key[:len(key) - least + 1][key[:len(key) - least + 1] == key[least - 1:]] if least > 1 else key
+    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+    return key // n_passages, key % n_passages
+
+
 def candidates(found: DataFrame, items: tuple, idf: np.ndarray, basis: np.ndarray, held: tuple[np.ndarray, ...], min_cosine: float = MIN_COSINE) -> DataFrame:
-    """(doc_id, item_id, starts): windows whose latent cosine with a passage of the item reaches min_cosine, and places with the word pairs that an accepted stretch must have."""
+    """(doc_id, item_id, starts): windows whose latent cosine with a passage of the item reaches min_cosine, and places with the word pairs that an accepted stretch must have.
+
+    A window meets the passages that share two terms with it, over an index from terms to passages, and
+    isn't multiplied with all of them; what one shared term can pass the check for, ``bounded`` finds.
+    """
     owner, offset, cols = items
     vals = _rows(offset, cols, idf)
     latent = _times(offset, cols, vals, basis)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    shared = found.sparkSession.sparkContext.broadcast((owner, latent, basis, idf, held))
+    order = np.argsort(cols, kind="stable")
+    of_term = np.searchsorted(cols[order], np.arange(len(idf) + 1)), np.repeat(np.arange(len(offset) - 1), np.diff(offset))[order]
+    shared = found.sparkSession.sparkContext.broadcast((owner, latent, basis, idf, held, of_term))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, latent, basis, idf, held = shared.value
+        owner, latent, basis, idf, held, of_term = shared.value
         for whole in batches:
-            for lo in range(0, len(whole), 1000):
-                pdf = whole.iloc[lo:lo + 1000]
-                text, start, offset, cols = _passages(pdf["n_words"], pdf["pos"], pdf["term"])
+            for lo in range(0, len(whole), 500):
+                pdf = whole.iloc[lo:lo + 500]
+                text, start, offset, cols = _passages(pdf["pos"], pdf["term"])
                 pairs: dict[tuple[int, int], set[int]] = {}
                 if len(cols):
+                    keys = pdf["doc_id"].to_numpy()
                     y = _times(offset, cols, _rows(offset, cols, idf), basis)
                     y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
-                    keys = pdf["doc_id"].to_numpy()
-                    for a in range(0, len(y), 4096):
-                        r, c = np.nonzero(y[a:a + 4096] @ latent.T >= min_cosine)
-                        for i, j in zip(r + a, owner[c]):
-                            pairs.setdefault((int(keys[text[i]]), int(j)), set()).add(int(start[i]))
+                    r, c = sharing(offset, cols, of_term, len(latent))
+                    for a in range(0, len(r), 65_536):
+                        i, j = r[a:a + 65_536], c[a:a + 65_536]
+                        near = np.einsum("ij,ij->i", y[i], latent[j]) >= min_cosine
+                        for w, item in zip(i[near], owner[j[near]]):
+                            pairs.setdefault((int(keys[text[w]]), int(item)), set()).add(int(start[w]))
                     for i, j, s in zip(*bounded(pdf["pos"].tolist(), pdf["term"].tolist(), held)):
                         pairs.setdefault((int(keys[i]), int(j)), set()).add(int(s))
                 yield pd.DataFrame([(d, i, sorted(s)) for (d, i), s in pairs.items()], columns=["doc_id", "item_id", "starts"])
@@ -321,17 +357,25 @@ def verify(df: DataFrame, pairs: DataFrame, items: list[tuple[int, list[str]]],
     return texts.mapInPandas(run, "doc_id bigint, item_id bigint, matched int, edits int, words int")
 
 
-def leaks(documents: DataFrame, eval_items: DataFrame, share: float = SHARE, min_cosine: float = MIN_COSINE) -> DataFrame:
+def leaks(documents: DataFrame, eval_items: DataFrame, share: float = SHARE, min_cosine: float = MIN_COSINE, max_terms: int = MAX_TERMS) -> DataFrame:
     """Rows (doc_id, item_id, matched, edits, words): which documents (doc_id, text) carry which items (item_id, text).
 
     Null and blank documents and items give no row; repeated documents are found each; items of equal
-    text are found each. Items are collected: they are the bounded side.
+    text are found each. Items are collected: they are the bounded side. Sets of more than ``max_terms``
+    word pairs go in blocks, each with a scan of its own.
     """
     spark = documents.sparkSession
     items = sorted({(r["item_id"], tuple(fold(r["text"]))) for r in eval_items.select("item_id", "text").where("text is not null and item_id is not null").collect()})
     items = [(i, list(w)) for i, w in items if len(w) > 1]
-    if not items:
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint, matched int, edits int, words int")
+    out = spark.createDataFrame([], "doc_id bigint, item_id bigint, matched int, edits int, words int")
+    for block in blocks_of(items, max_terms):
+        out = out.unionByName(_leaks_of(documents, block, share, min_cosine))
+    return out
+
+
+def _leaks_of(documents: DataFrame, items: list[tuple[int, list[str]]], share: float, min_cosine: float) -> DataFrame:
+    """The leaks of one block of items."""
+    spark = documents.sparkSession
     terms = item_terms(items)
     found = cut(hits(documents.where("text is not null"), spark.sparkContext.broadcast(terms)))
     spans = F.floor((F.greatest("n_words", F.lit(WINDOW)) - WINDOW) / STRIDE) + 1
@@ -341,7 +385,7 @@ def leaks(documents: DataFrame, eval_items: DataFrame, share: float = SHARE, min
     for r in found.select(F.explode(F.array_distinct("term")).alias("term")).groupBy("term").count().collect():
         df[r["term"]] += r["count"]
     idf = np.log(1 + max(n, 1) / df).astype(np.float32)
-    text, start, offset, cols = _passages([len(w) for _, w in items], [np.arange(len(w) - 1) for _, w in items], [np.array([terms[p] for p in zip(w, w[1:])]) for _, w in items])
+    text, start, offset, cols = _passages([np.arange(len(w) - 1) for _, w in items], [np.array([terms[p] for p in zip(w, w[1:])]) for _, w in items])
     side = np.array([i for i, _ in items])[text], offset, cols
     basis = latent_basis(found, side, idf)
     return verify(documents, candidates(found, side, idf, basis, held_pairs(items, terms, share), min_cosine), items, share)
