@@ -189,7 +189,7 @@ def _gram_times(found: DataFrame, idf: np.ndarray, m: np.ndarray) -> np.ndarray:
         for pdf in batches:
             for t, z in zip(pdf["term"], pdf["z"]):
                 total[t] = total[t] + z if t in total else np.asarray(z, np.float64)
-        yield pd.DataFrame({"term": pd.Series(list(total), dtype="int32"), "z": list(total.values())})
+        yield pd.DataFrame({"term": pd.Series(list(total), dtype="int32"), "z": pd.Series(list(total.values()), dtype=object)})
 
     # every task gives up to one row a term: as many tasks as cores, not as input files
     parts = found.where("size(pos) > 0").coalesce(found.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "term int, z array<float>")
