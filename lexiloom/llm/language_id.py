@@ -3,8 +3,8 @@
 Each paragraph is a chain of words; states are languages; features are the word itself (lexicon),
 affixes, character n-grams and scripts, hashed to a fixed width; transitions are learned. Training
 maximises the conditional likelihood on a bounded sample of labelled documents (``SAMPLE`` per
-language, chosen by hash, of ``SAMPLE_CHARS`` at most), twice: documents whose label the first model
-contradicts are left out of the second fit. Forward-backward then gives every word of every document
+language, chosen by hash, of ``SAMPLE_CHARS`` at most), twice: the first model judges words alone,
+without transitions, and paragraphs whose label it contradicts are left out of the second fit. Forward-backward then gives every word of every document
 its marginals; a paragraph takes the language with the most mass, neighbours of one language form a
 segment, and the mean marginal is the confidence.
 
@@ -30,6 +30,10 @@ SAMPLE, SAMPLE_CHARS = 250, 6000
 BUCKETS = 1 << 17
 CACHED_WORDS = 300_000
 ROUNDS = 40
+#: Words of a training chain (longer ones are cut into several), step of the transitions in training.
+PIECE, STEP = 400, 0.4
+#: Chains of more words go in columns of so many words, COLUMNS at a time.
+COLUMN, COLUMNS = 2_000, 64
 
 _WORD = re.compile("[぀-ヿ㐀-䶿一-鿿々]{1,4}|[가-힣ᄀ-ᇿ]+|[^\\W\\d_぀-ヿ㐀-䶿一-鿿가-힣ᄀ-ᇿ々]+")
 _GAP = re.compile("\n(?:[ \t\f\v ​　]*\n)+")
@@ -59,7 +63,7 @@ def _script(c: str) -> str:
 
 def features(word: str) -> list[int]:
     """Hashed features of a word."""
-    w = word[:40]
+    w = word
     out = {"w=" + word, "s=" + _script(w[0]), "e=" + _script(w[-1])}
     for n in (1, 2, 3):
         if len(w) >= n:
@@ -99,7 +103,10 @@ class Chain:
         """Sum of marginals per language of each chain."""
         out = np.zeros((len(chains), len(self.labels)))
         room = 200_000
-        order = sorted((i for i in range(len(chains)) if chains[i]), key=lambda i: len(chains[i]))
+        for i, c in enumerate(chains):
+            if len(c) > COLUMN * 4:
+                out[i] = self.long_mass(c)
+        order = sorted((i for i in range(len(chains)) if 0 < len(chains[i]) <= COLUMN * 4), key=lambda i: len(chains[i]))
         start = 0
         while start < len(order):
             stop, longest = start, 0
@@ -118,6 +125,71 @@ class Chain:
         return out
 
 
+    def long_mass(self, chain: list[str]) -> np.ndarray:
+        """Sum of marginals per language of one long chain, in columns with carried forward and backward states.
+
+        The transfer matrix of each column gives the states at all borders; then columns are run side by
+        side, so the work is linear and only one row of scores a word grows with the chain.
+        """
+        n, k, t = len(chain), len(self.labels), np.exp(self.transition)
+        count = -(-n // COLUMN)
+        score = np.empty((n, k), np.float32)
+        for a in range(0, n, CACHED_WORDS // 2):
+            part = chain[a:a + CACHED_WORDS // 2]
+            score[a:a + len(part)] = self.table[self.rows(part)]
+
+        def columns(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+            x = np.zeros(((hi - lo) * COLUMN, k))
+            live = np.zeros(len(x), bool)
+            part = score[lo * COLUMN:min(n, hi * COLUMN)]
+            x[:len(part)], live[:len(part)] = np.exp(part - part.max(1, keepdims=True)), True
+            return x.reshape(hi - lo, COLUMN, k), live.reshape(hi - lo, COLUMN)
+
+        transfer = np.empty((count, k, k))
+        for lo in range(0, count, COLUMNS):
+            e, live = columns(lo, min(lo + COLUMNS, count))
+            p = np.broadcast_to(np.eye(k), (len(e), k, k)).copy()
+            for i in range(COLUMN):
+                q = p @ t
+                if lo == 0 and i == 0:
+                    q[0] = p[0]
+                q = q * e[:, i, None, :]
+                q /= np.maximum(q.sum((1, 2), keepdims=True), 1e-300)
+                p = np.where(live[:, i, None, None], q, p)
+            transfer[lo:lo + len(e)] = p
+        before, behind = np.empty((count, k)), np.empty((count, k))
+        state = np.full(k, 1 / k)
+        for c in range(count):
+            before[c] = state
+            state = state @ transfer[c]
+            state /= state.sum()
+        state = np.ones(k)
+        for c in range(count - 1, -1, -1):
+            behind[c] = state
+            state = transfer[c] @ state
+            state /= state.sum()
+        out = np.zeros(k)
+        for lo in range(0, count, COLUMNS):
+            hi = min(lo + COLUMNS, count)
+            e, live = columns(lo, hi)
+            alpha = np.empty((COLUMN, hi - lo, k))
+            a = before[lo:hi]
+            for i in range(COLUMN):
+                q = a @ t
+                if lo == 0 and i == 0:
+                    q[0] = a[0]
+                q = q * e[:, i]
+                q /= np.maximum(q.sum(1, keepdims=True), 1e-300)
+                a = alpha[i] = np.where(live[:, i, None], q, a)
+            b = behind[lo:hi]
+            for i in range(COLUMN - 1, -1, -1):
+                g = alpha[i] * b
+                out += ((g / g.sum(1, keepdims=True)) * live[:, i, None]).sum(0)
+                q = (e[:, i] * b) @ t.T
+                b = np.where(live[:, i, None], q / np.maximum(q.sum(1, keepdims=True), 1e-300), b)
+        return out
+
+
 def forward_backward(scores: np.ndarray, sizes: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Marginals (zero behind a chain's end), expected transitions and the log normaliser of padded chains."""
     b, n, k = scores.shape
@@ -146,11 +218,12 @@ def forward_backward(scores: np.ndarray, sizes: np.ndarray, transition: np.ndarr
     return marginal.transpose(1, 0, 2), pairs, log_z
 
 
-def fit(chains: list[list[str]], targets: list[int], labels: list[str], rounds: int = ROUNDS, l2: float = 1e-4) -> Chain:
+def fit(chains: list[list[str]], targets: list[int], labels: list[str], rounds: int = ROUNDS, l2: float = 1e-4, step: float = STEP) -> Chain:
     """Full-batch adaptive gradient ascent on the conditional likelihood; every word of a chain bears its document's label."""
     vocab: dict[str, int] = {}
-    ids = [np.array([vocab.setdefault(w, len(vocab)) for w in c[:400]]) for c in chains if c]
-    target = np.array([t for c, t in zip(chains, targets) if c])
+    pieces = [(c[a:a + PIECE], t) for c, t in zip(chains, targets) for a in range(0, len(c), PIECE)]
+    ids = [np.array([vocab.setdefault(w, len(vocab)) for w in c]) for c, _ in pieces]
+    target = np.array([t for _, t in pieces])
     k, v = len(labels), len(vocab)
     feats = [features(w) for w in vocab]
     owner = np.repeat(np.arange(v), [len(f) for f in feats])
@@ -181,7 +254,7 @@ def fit(chains: list[list[str]], targets: list[int], labels: list[str], rounds:
         emission += (0.3 * grad / np.sqrt(ge)).astype(np.float32)
         gp = g_pairs * weight
         gt += gp ** 2
-        transition += 0.1 * gp / np.sqrt(gt)
+        transition += step * gp / np.sqrt(gt)
         transition = np.clip(transition, -6, 6)
     return Chain(labels, emission, transition)
 
@@ -198,7 +271,8 @@ def train(df: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS)
     place = {x: i for i, x in enumerate(labels)}
     docs = [([words(p) for p in paragraphs(r["text"])], place[r["label"]]) for r in rows]
     chains, targets = [c for d, _ in docs for c in d], [t for d, t in docs for _ in d]
-    first = fit(chains, targets, labels, ROUNDS // 2)
+    # without transitions each word speaks for itself: they would carry a wrong label over its whole chain and learn it
+    first = fit(chains, targets, labels, ROUNDS // 2, step=0.0)
     mass = first.mass(chains)
     agree = [i for i in range(len(chains)) if chains[i] and mass[i].argmax() == targets[i]]
     return fit([chains[i] for i in agree], [targets[i] for i in agree], labels)

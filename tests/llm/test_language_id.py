@@ -1,8 +1,9 @@
 import itertools
+import random
 
 import numpy as np
 
-from lexiloom.llm.language_id import forward_backward, paragraphs, segments, train
+from lexiloom.llm.language_id import BUCKETS, Chain, features, fit, forward_backward, paragraphs, segments, train
 
 TEXTS = {
     "en": ["the old man walks to the shop with a red bag", "she never said what the letter was about", "they wait at the station until the rain stops", "nobody knows who took the blame for the fire"],
@@ -54,3 +55,35 @@ def test_segments(spark):
     right = sum(got[i] == [(1, {"E": "en", "e": "en", "s": "es", "S": "es", "k": "ko", "K": "ko"}[r[2][0] if r[2] != "es" else "s"])] for i, r in enumerate(rows))
     assert right >= 0.98 * len(rows)
     assert segments(df, train(df.where("lang is null"))).count() == 0
+
+
+def test_long_chains_equal_plain_ones():
+    rnd = np.random.default_rng(1)
+    chain = Chain(list("abcd"), 0.5 * rnd.normal(size=(BUCKETS, 4)).astype(np.float32), rnd.normal(size=(4, 4)))
+    for n in (8001, 10_000, 20_123):
+        words = [f"w{i}" for i in rnd.integers(0, 300, n)]
+        marginal, _, _ = forward_backward(chain.table[chain.rows(words)][None], np.array([n]), chain.transition)
+        assert np.allclose(chain.long_mass(words), marginal.sum(1)[0], atol=1e-3) and np.allclose(chain.mass([words, words[:9]])[0], marginal.sum(1)[0], atol=1e-3)
+
+
+def test_affixes_and_paragraphs_are_whole():
+    a, b = "x" * 60 + "abc", "x" * 60 + "xyz"
+    assert set(features(a)) - set(features(b)) and len(set(features("y" + a)) & set(features("z" + a))) > len(set(features(a)) & set(features(b)))
+    model = fit([["same"] * 500 + ["uno"] * 300, ["same"] * 500 + ["two"] * 300], [0, 1], ["es", "en"])
+    assert model.mass([["uno"] * 5])[0].argmax() == 0 and model.mass([["two"] * 5])[0].argmax() == 1
+
+
+def test_wrong_labels_are_not_learned(spark):
+    rnd = random.Random(3)
+    stems = {k: [f"{a}{k}{b}" for a in "bdfgklmn" for b in ("o", "ir", "eta", "uns")] for k in ("ar", "el", "is")}
+    names = [f"{a}om{b}" for a in "BDGK" for b in "aeio"]
+    say = lambda k: " ".join(rnd.choice(stems[k] if rnd.random() < 0.7 else names) for _ in range(40))
+    langs = {"ar": "en", "el": "de", "is": "fr"}
+    rows, true = [], {}
+    for i in range(450):
+        k = ("ar", "ar", "el", "is")[i % 4]
+        true[i] = langs[k]
+        rows.append((i, "\n\n".join(say(k) for _ in range(3)), rnd.choice(["en", "de", "fr"]) if rnd.random() < 0.35 else langs[k]))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.lang for r in segments(df, train(df)).where("n_segments = 1").collect()}
+    assert got == true
