@@ -35,7 +35,7 @@ PIECE, STEP = 400, 0.4
 #: Chains of more words go in columns of so many words, COLUMNS at a time.
 COLUMN, COLUMNS = 2_000, 64
 
-_WORD = re.compile("[぀-ヿ㐀-䶿一-鿿々]{1,4}|[가-힣ᄀ-ᇿ]+|[^\\W\\d_぀-ヿ㐀-䶿一-鿿가-힣ᄀ-ᇿ々]+")
+_WORD = re.compile("[぀-ヿ㐀-䶿一-鿿々]{1,4}|[가-힣ᄀ-ᇿ]+|[^\\W\\d_぀-ヿ㐀-䶿一-鿿가-힣ᄀ-ᇿ々]+(?:['\u2019][^\\W\\d_぀-ヿ㐀-䶿一-鿿가-힣ᄀ-ᇿ々]+)*")
 _GAP = re.compile("\n(?:[ \t\f\v ​　]*\n)+")
 NO_WORD = -1
 
