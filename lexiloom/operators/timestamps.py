@@ -2,8 +2,8 @@
 
 Method: texts are parsed natively to local fields. Local times without an offset meet the zone's
 offset intervals in an as-of join: intervals, in local time, are exploded to the years they touch,
-so the join is an equi-join on (zone, year) against a table bounded by zones x years, and the
-containing intervals are picked inside the row. Two containing intervals mean an ambiguous time (the
+so the join is an equi-join on (zone, year) against a table bounded by zones x years (years before or
+after the table take the first or a late one of the same calendar), and the containing intervals are picked inside the row. Two containing intervals mean an ambiguous time (the
 earlier instant counts), none a skipped one (the offset before the change counts), one gives the
 offset. Nothing is collected and nothing is shuffled beyond the small side.
 """
@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.text import FOOTNOTES, decode_char_refs, squeeze
 
-YEARS = (1900, 2100)
+#: Years with intervals of their own. No zone changed before the first; after the last the rules repeat with the calendar.
+YEARS = (1800, 2100)
+#: A late year for each kind of calendar: by leap year and day of the week of the first of January (0 is Monday).
+LIKE_YEARS = {(datetime(y, 12, 31).timetuple().tm_yday == 366, datetime(y, 1, 1).weekday()): y for y in range(2071, 2099)}
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 #: Zone letters with one meaning everywhere, in minutes east of Greenwich.
 ZONE_LETTERS = {"z": 0, "ut": 0, "utc": 0, "gmt": 0, "kst": 540, "jst": 540, "wib": 420, "wita": 480, "wit": 540, "hkt": 480, "sgt": 480, "pht": 480, "ict": 420,
@@ -32,8 +35,19 @@ REGIONAL_LETTERS = {("australia", "est"): 600, ("australia", "edt"): 660, ("aust
                     ("asia/shanghai", "cst"): 480, ("asia/taipei", "cst"): 480, ("asia/manila", "pst"): 480, ("europe/dublin", "ist"): 60, ("asia/jerusalem", "ist"): 120}
 
 
+ENDLESS = -10**15
+
+
+def _calendar_year(year: Column) -> Column:
+    """The year whose intervals hold for a year: itself, the first one, or a late one with the same calendar."""
+    leap = F.dayofyear(F.make_date(year, F.lit(12), F.lit(31))) == 366
+    kind = F.weekday(F.make_date(year, F.lit(1), F.lit(1))) + F.when(leap, 7).otherwise(0)
+    like = F.get(F.array(*[F.lit(LIKE_YEARS[lp, d]) for lp in (False, True) for d in range(7)]), kind)
+    return F.when(year < YEARS[0], YEARS[0]).when(year > YEARS[1], like).otherwise(year)
+
+
 def offset_intervals(zone: str, first: int = YEARS[0], last: int = YEARS[1]) -> list[tuple[int, int, int]]:
-    """(local start, local end, offset) in seconds of every stretch with one offset, found by bisection."""
+    """(local start, local end, offset) in seconds of every stretch with one offset, found by bisection; the first has no start."""
     tz = ZoneInfo(zone)
     at = lambda t: int(datetime.fromtimestamp(t, timezone.utc).astimezone(tz).utcoffset().total_seconds())
     lo = int(datetime(first, 1, 1, tzinfo=timezone.utc).timestamp())
@@ -53,7 +67,7 @@ def offset_intervals(zone: str, first: int = YEARS[0], last: int = YEARS[1]) ->
         else:
             t = nxt
     out.append((start + off, end + off, off))
-    return out
+    return [(ENDLESS, *out[0][1:]), *out[1:]]
 
 
 def _explode_zones(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,8 +79,9 @@ def _explode_zones(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             except Exception:  # unknown zone name: no intervals, its local times have no instant
                 continue
             epoch = datetime(1970, 1, 1)
-            for i, (a, b, off) in enumerate(spans):
-                for year in range((epoch + timedelta(seconds=a - 86400)).year, (epoch + timedelta(seconds=b + 86400)).year + 1):
+            for a, b, off in spans:
+                first = YEARS[0] if a == ENDLESS else (epoch + timedelta(seconds=a - 86400)).year
+                for year in range(first, (epoch + timedelta(seconds=b + 86400)).year + 1):
                     rows.append((zone, year, a, b, off))
         yield pd.DataFrame(rows, columns=["zone", "year", "a", "b", "off"])
 
@@ -170,11 +185,13 @@ def normalise(df: DataFrame, intervals: DataFrame) -> DataFrame:
         letters = F.when((z == word) & region.startswith(where), F.lit(minutes * 60)).otherwise(letters)
     x = x.withColumns({"_off": F.when(z.isNotNull(), F.coalesce(numeric, letters)), "_bad_zone": z.isNotNull() & numeric.isNull() & letters.isNull()})
     need = F.col("_local").isNotNull() & F.col("_p.zone").isNull()
-    x = x.withColumn("_zone", F.when(need, F.col("zone"))).withColumn("_year", F.when(need, F.year("_date")))
+    x = x.withColumn("_zone", F.when(need, F.col("zone"))).withColumn("_year", F.when(need, _calendar_year(F.year("_date"))))
+    ahead = F.when(F.year("_date") > YEARS[1], F.datediff(F.make_date(F.year("_date"), F.lit(1), F.lit(1)), F.make_date("_year", F.lit(1), F.lit(1))).cast("bigint") * 86400).otherwise(0)
+    x = x.withColumn("_at", F.col("_local") - ahead)
     spans = intervals.select(F.col("zone").alias("_zone"), F.col("year").alias("_year"), "spans")
     x = x.join(spans, ["_zone", "_year"], "left")
-    inside = F.transform(F.filter("spans", lambda s: (s["a"] <= F.col("_local")) & (F.col("_local") < s["b"])), lambda s: s["off"])
-    before = F.transform(F.filter("spans", lambda s: s["b"] <= F.col("_local")), lambda s: s["off"])
+    inside = F.transform(F.filter("spans", lambda s: (s["a"] <= F.col("_at")) & (F.col("_at") < s["b"])), lambda s: s["off"])
+    before = F.transform(F.filter("spans", lambda s: s["b"] <= F.col("_at")), lambda s: s["off"])
     found = F.when(F.size(inside) > 0, F.array_max(inside)).otherwise(F.try_element_at(before, F.lit(-1)))
     instant = F.coalesce(p("epoch"), F.col("_local") - F.coalesce(F.col("_off"), found))
     norm = (F.when(p("epoch").isNotNull() | (p("hh").isNotNull() & F.col("_date").isNotNull() & ~F.col("_bad_zone")),
@@ -183,4 +200,4 @@ def normalise(df: DataFrame, intervals: DataFrame) -> DataFrame:
             .when(F.col("_d").isNotNull(), F.date_format("_date", "yyyy-MM-dd"))
             .when(F.col("_mo").isNotNull(), F.when(good_month & year_ok, F.concat_ws("-", full[0], full[1])))
             .when(year_ok, full[0]))
-    return x.withColumn("norm", norm).drop("_p", "_y", "_mo", "_d", "_date", "_local", "_off", "_bad_zone", "_zone", "_year", "spans")
+    return x.withColumn("norm", norm).drop("_p", "_y", "_mo", "_d", "_date", "_local", "_off", "_bad_zone", "_zone", "_year", "_at", "spans")

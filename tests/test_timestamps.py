@@ -42,3 +42,13 @@ def test_intervals_against_zoneinfo():
             if real:
                 assert max(offs) == first
             t += timedelta(minutes=30 * 37)
+
+
+def test_years_of_any_distance(spark):
+    zones = ("Asia/Seoul", NY, BER, "Australia/Sydney", "America/Sao_Paulo")
+    times = [datetime(y, m, 9, 12, 30) for y in (1500, 1799, 1883, 1895, 1901, 2037, 2099, 2100, 2101, 2105, 2222, 2400, 3000, 9998) for m in (1, 4, 7, 10)]
+    rows = [(t.strftime("%m/%d/") + f"{t.year:04d}" + " 12:30", z, "mdy", t) for t in times for z in zones]
+    df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "row_id bigint, text string, zone string, date_order string")
+    got = {r.row_id: r.norm for r in normalise(df, zone_intervals(df.select("zone").distinct())).collect()}
+    utc = lambda r: r[3].replace(tzinfo=ZoneInfo(r[1])).astimezone(timezone.utc)
+    assert got == {i: f"{utc(r).year:04d}" + utc(r).strftime("-%m-%dT%H:%M:%SZ") for i, r in enumerate(rows)}
