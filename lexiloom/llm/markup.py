@@ -26,10 +26,9 @@ CODE = (
 FORMULA = (
     r"(?is)<(?:math|chem|ce)\b[^>]*>.*?</(?:math|chem|ce)\s*>",
     r"(?s)\\begin\{(?:equation|align|gather|displaymath|math|eqnarray|multline)\*?\}.*?\\end\{(?:equation|align|gather|displaymath|math|eqnarray|multline)\*?\}",
-    # of any length without a blank line inside, as TeX has it; with one up to 2,000 characters
-    r"(?s)\$\$(?=\s*\S)(?:(?:[^$\n]++|\$(?!\$)|\n(?![ \t]*\n))++\$\$|.{1,2000}?\$\$)",
-    r"(?s)\\\[(?=\s*\S)(?:(?:[^\\\n]++|\\(?!\])|\n(?![ \t]*\n))++\\\]|.{1,2000}?\\\])",
-    r"(?s)\\\((?=\s*\S)(?:(?:[^\\\n]++|\\(?!\))|\n(?![ \t]*\n))++\\\)|.{1,2000}?\\\))",
+    r"\$\$(?=\s*\S)(?:[^$]++|\$(?!\$))++\$\$",
+    r"\\\[(?=\s*\S)(?:[^\\]++|\\(?!\]))++\\\]",
+    r"\\\((?=\s*\S)(?:[^\\]++|\\(?!\)))++\\\)",
     r"(?<![\\$\w])\$(?=[^\s$])(?=[^$\n]*[\\^_={}+])[^$\n]++(?<=[^\s$\\])\$(?![\d$])",
 )
 HEADING = (
