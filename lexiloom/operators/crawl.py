@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,26 +15,27 @@ def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int, max_pages: int | N
 
     A level is one join with the edges and one anti join with what was visited; both are equi-joins.
     Links to numbered list pages cost no depth: they are followed to a fixed point inside a level.
-    Beyond ``max_pages`` the first pages by depth and URL count. Each level is checkpointed, so the
-    plan does not grow and lost executors cost no restart.
+    Beyond ``max_pages`` the first pages by depth and URL count. Each level is checkpointed once and what
+    was visited is their union, so nothing is written twice and lost executors cost no restart.
     """
     free = F.col("dst").rlike(r"/page/\d+(?:/|$)")
-    seen = cut(seeds.select("url", F.lit(0).alias("depth")).distinct())
-    frontier, depth = seen, 0
+    levels = [cut(seeds.select("url", F.lit(0).alias("depth")).distinct())]
+    frontier, depth = levels[0], 0
+    visited = lambda: reduce(DataFrame.unionByName, levels)
     while True:
         step = frontier.join(edges, frontier.url == edges.src).select(F.col("dst").alias("url"), free.alias("free"))
-        step = step.join(seen.select("url"), "url", "left_anti").groupBy("url").agg(F.max("free").alias("free"))
-        same, deeper = step.where("free").select("url", F.lit(depth).alias("depth")), None
-        same = cut(same)
+        step = cut(step.join(visited().select("url"), "url", "left_anti").groupBy("url").agg(F.max("free").alias("free")))
+        same = step.where("free").select("url", F.lit(depth).alias("depth"))
         if not same.isEmpty():
-            seen = cut(seen.unionByName(same))
-            frontier = cut(frontier.unionByName(same))
+            levels.append(same)
+            frontier = frontier.unionByName(same)
             continue
-        if depth >= max_depth or (max_pages is not None and seen.count() >= max_pages):
+        if depth >= max_depth or (max_pages is not None and visited().count() >= max_pages):
             break
         depth += 1
-        deeper = cut(step.where("not free").select("url", F.lit(depth).alias("depth")))
+        deeper = step.where("not free").select("url", F.lit(depth).alias("depth"))
         if deeper.isEmpty():
             break
-        seen, frontier = cut(seen.unionByName(deeper)), deeper
-    return seen if max_pages is None else seen.orderBy("depth", "url").limit(max_pages)
+        levels.append(deeper)
+        frontier = deeper
+    return visited() if max_pages is None else visited().orderBy("depth", "url").limit(max_pages)

@@ -1,7 +1,7 @@
 """Linking of pages to records by tag, title phrase and alternative name, longest match first.
 
 Phrase containment is an equi-join: the distinct word n-grams of a title, up to the longest name,
-meet the names. Match keys are narrow; attributes are attached at the end.
+meet the names. Match keys are narrow; ``attach`` puts the attributes of page and record back.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.functions.normalise import name_list, page_title, record_title
+from lexiloom.functions.normalise import flatten_text, name_list, page_title, record_title
 
 PRIORITY = {"title": 0, "alt": 1, "tag": 2}
 
@@ -78,3 +78,24 @@ def link(entities: DataFrame, records: DataFrame) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for p in PRIORITY.items() for x in p])
     w = Window.partitionBy("title_clean", "name").orderBy(kinds[F.col("match_type")], "wiki_id", "url")
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("match_type", "url", "title_clean", "wiki_id", "name")
+
+
+#: The columns of a linked row: match, page, record.
+PAGE_COLUMNS = ("title", "url", "description", "domain", "author", "date", "tags")
+OUTPUT = ("match_type", "alt_name_item", "alt_name", "title", "title_clean", "wiki_title_clean", "wiki_title", "url", "description", "domain", "author", "date", "tags", "wiki_id", "timestamp", "username", "synopsis",
+          "creator", "based_on", "writer", "director", "starring", "music", "opening_theme", "ending_theme", "executive_producer", "producer", "camera_setup", "runtime", "budget", "location", "company", "network",
+          "first_aired", "last_aired", "num_seasons", "num_episodes", "genre", "language", "country")
+
+
+def attach(links: DataFrame, entities: DataFrame, records: DataFrame) -> DataFrame:
+    """The 40 columns of linked rows: ``links`` with the attributes of the page's first crawl and of the record's latest revision.
+
+    Control signs become blanks, tags are joined by ``|``; null stays null.
+    """
+    first = lambda keys, *order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    page = entities.select("entity_id", *[F.col(c) for c in PAGE_COLUMNS if c not in ("url", "tags")], F.coalesce("url", F.lit("")).alias("url"), page_title(F.coalesce("title", F.lit(""))).alias("title_clean"), F.array_join("tags", "|").alias("tags"))
+    page = page.withColumn("_n", first(("url", "title_clean"), "entity_id")).where("_n = 1").drop("_n", "entity_id")
+    record = records.withColumn("_n", first(("wiki_id",), F.desc_nulls_last("timestamp"), F.desc("rec_id"))).where("_n = 1").withColumnRenamed("title", "wiki_title")
+    record = record.select("wiki_id", "wiki_title", record_title(F.col("wiki_title")).alias("wiki_title_clean"), *[c for c in OUTPUT if c in record.columns and c not in ("wiki_id", "wiki_title")])
+    x = links.join(page, ["url", "title_clean"]).join(record, "wiki_id").withColumn("alt_name_item", F.when(F.col("match_type") == "alt", F.col("name")))
+    return x.select(*[flatten_text(F.col(c)).alias(c) for c in OUTPUT])

@@ -16,7 +16,7 @@ def netloc(url: Column) -> Column:
 
 
 def resolve(base: Column, link: Column) -> Column:
-    """Absolute form of a link on a page: absolute, scheme-relative, rooted, query-only, fragment or relative; dots are taken out by ``DOTS``."""
+    """Absolute form of a link on a page: absolute, scheme-relative, rooted, query-only, fragment or relative; ``undotted`` takes dots out."""
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
     path = F.regexp_replace(base, r"[?#].*$", "")
@@ -26,8 +26,14 @@ def resolve(base: Column, link: Column) -> Column:
             .when(link.startswith("#") | (link == ""), F.concat(path, link)).otherwise(F.concat(folder, link)))
 
 
-#: (pattern, replacement) that take ``./`` and ``../`` out of a path, up to four levels.
-DOTS = [(r"(?<!:)/(?:\./)+", "/")] + [(r"(?<=[^/:])/(?!\.\./)[^/?#]+/\.\./", "/")] * 4
+def undotted(url: Column) -> Column:
+    """``./`` and ``../`` taken out of an absolute URL's path, at any depth; steps above the root stay at the root."""
+    head, tail = F.regexp_extract(url, r"^([^/?#]*//[^/?#]*)", 1), F.regexp_extract(url, r"([?#].*)$", 1)
+    path = F.regexp_extract(url, r"^[^/?#]*//[^/?#]*([^?#]*)", 1)
+    steps = F.aggregate(F.slice(F.split(path, "/"), 2, 1 << 30), F.array().cast("array<string>"), lambda done, s: (
+        F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.array_append(done, s))))
+    steps = F.when(path.rlike(r"/\.\.?$"), F.array_append(steps, F.lit(""))).otherwise(steps)
+    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.concat(head, F.lit("/"), F.array_join(steps, "/"), tail)).otherwise(url)
 
 
 def canonical(url: Column) -> Column:
@@ -36,10 +42,10 @@ def canonical(url: Column) -> Column:
     return F.when(bare.rlike(r"^https?://[^/]+/$"), bare).otherwise(F.regexp_replace(bare, r"/+$", ""))
 
 
-def wanted_link(url: Column, page_caps: dict[str, int] | None = None) -> Column:
-    """Whether a link leads to an article: no skipped segment or file type, no tag, comment or system path, no page beyond its host's cap."""
+def wanted_link(url: Column, page_caps: dict[str, int] | None = None, more_segments: tuple[str, ...] = ()) -> Column:
+    """Whether a link leads to an article: no skipped segment (a site may have more) or file type, no tag, comment or system path, no page beyond its host's cap."""
     low = F.lower(url)
-    ok = ~low.rlike("/(?:" + "|".join(SKIPPED_SEGMENTS) + ")(?:/|$)") & ~low.rlike(r"\.(?:" + "|".join(SKIPPED_TYPES) + r")(?:\?|$)") & ~low.rlike("/tag/|/wp-|comment")
+    ok = ~low.rlike("/(?:" + "|".join((*SKIPPED_SEGMENTS, *more_segments)) + ")(?:/|$)") & ~low.rlike(r"\.(?:" + "|".join(SKIPPED_TYPES) + r")(?:\?|$)") & ~low.rlike("/tag/|/wp-|comment")
     for host, cap in (page_caps or {}).items():
         number = F.regexp_extract(low, r"/page/([0-9]+)/", 1).try_cast("bigint")
         ok = ok & ~(low.contains(host) & number.isNotNull() & (number > cap))
@@ -53,8 +59,7 @@ def links(pages: DataFrame, page_caps: dict[str, int] | None = None) -> DataFram
     link = F.regexp_replace(link, r"^(https?):/(?!/)", "$1://")
     raw = raw.select(F.col("url").alias("src"), link.alias("link"))
     full = raw.select("src", resolve(F.col("src"), F.col("link")).alias("dst"))
-    for step in DOTS:  # a step is a column of its own, so the plan stays small
-        full = full.withColumn("dst", F.regexp_replace("dst", *step))
+    full = full.withColumn("dst", undotted(F.col("dst")))
     full = full.where(F.col("dst").startswith("http") & (netloc(F.col("dst")) == netloc(F.col("src"))) & wanted_link(F.col("dst"), page_caps))
     return full.select("src", canonical(F.col("dst")).alias("dst")).distinct()
 
@@ -64,22 +69,60 @@ def file_name(url: Column, limit: int = 80) -> Column:
     return F.concat(F.substring(F.regexp_replace(F.regexp_replace(url, r"^https?://", ""), r"[^A-Za-z0-9_-]+", "_"), 1, limit), F.lit(".html"))
 
 
-def skip_reason(name: Column, size: Column, phrases: tuple[str, ...] = (), min_size: int = 500) -> Column:
-    """First rule by which a page is skipped: small, root, phrase; null if it is kept."""
+def root_page(name: Column, hosts: tuple[str, ...] = (), endings: tuple[str, ...] = ("com",)) -> Column:
+    """Whether a saved page's name is that of a site's root: host and ending, perhaps a page number. Without ``hosts`` every host counts."""
+    stem = F.regexp_replace(F.regexp_replace(F.lower(name), r"\.html$", ""), r"(?:_\d{0,4}){0,2}_?$", "")
+    site = F.regexp_replace(stem, "^www_", "")
+    host, ending = F.substring_index(site, "_", 1), F.substring_index(site, "_", -1)
+    ok = (site == F.concat_ws("_", host, ending)) & ending.isin(*endings) & host.rlike("^[a-z0-9-]+$")
+    return (ok & host.isin(*hosts) if hosts else ok) | (F.lower(name) == "index.html")
+
+
+def skip_reason(name: Column, size: Column, phrases: tuple[str, ...] | dict[str, tuple[str, ...]] = (), min_size: int = 500, site: Column | None = None, html: Column | None = None,
+                markers: dict[str, tuple[str, ...]] | None = None, endings: tuple[str, ...] = ("com",)) -> Column:
+    """First rule by which a page is skipped: small, root, phrase, topic; null if it is kept.
+
+    ``phrases`` are for all sites or by ``site``. A site in ``markers`` needs one of its markers in the page's ``html``, in any case.
+    """
     low = F.lower(name)
-    out = F.when(size < min_size, "small").when(low.rlike(r"^(?:www_)?[a-z0-9-]+_(?:com|example)(?:_\d{0,4})?(?:_\d{0,2})?_?(?:\.html)?$") | (low == "index.html"), "root")
-    for p in phrases:
-        out = out.when(low.contains(p), "phrase")
+    out = F.when(size < min_size, "small").when(root_page(name, endings=endings), "root")
+    for where, words in (phrases.items() if isinstance(phrases, dict) else [(None, phrases)]):
+        for p in words:
+            out = out.when(low.contains(p) if where is None else (site == where) & low.contains(p), "phrase")
+    for where, words in (markers or {}).items():
+        body = F.lower(F.coalesce(html, F.lit("")))
+        found = F.lit(False)
+        for m in words:
+            found = found | body.contains(m.lower())
+        out = out.when((site == where) & ~found, "topic")
     return out
 
 
+def is_html(status: Column, content_type: Column) -> Column:
+    """Whether a response is a page: status 200 and an HTML content type, whatever its parameters; false where one is missing."""
+    return F.coalesce((status == 200) & F.lower(content_type).contains("text/html"), F.lit(False))
+
+
+def page_type(url: Column) -> Column:
+    """What a page is by its address: show, recap or other."""
+    return F.when(url.contains("/shows/"), "show").when(url.contains("recap"), "recap").otherwise("other")
+
+
+def saved_pages(pages: DataFrame, order: str) -> DataFrame:
+    """(domain, name, url) of pages (url): folder and file name of each, of equal ones the last by ``order``."""
+    x = pages.where("url is not null").select(F.regexp_replace(netloc(F.col("url")), r"^www\.", "").alias("domain"), file_name(F.col("url")).alias("name"), "url", F.col(order).alias("_order"))
+    return x.groupBy("domain", "name").agg(F.max_by("url", "_order").alias("url"))
+
+
 def robots_allowed(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Pages (url) whose path starts with no rule (host, prefix) of their host."""
+    """Pages (url) that the rules (host, prefix and, if given, allow) of their host let pass: the longest matching prefix decides, at equal length it is allowed."""
     path = F.regexp_extract("url", r"^[a-z]+://[^/]*(/[^?#]*)", 1)
-    hosts = rules.groupBy("host").agg(F.collect_set("prefix").alias("prefixes"))
+    allow = F.col("allow") if "allow" in rules.columns else F.lit(False)
+    hosts = rules.groupBy("host").agg(F.collect_set(F.struct(F.length("prefix").alias("n"), allow.alias("allow"), "prefix")).alias("_rules"))
     x = pages.withColumns({"_host": netloc(F.col("url")), "_path": F.when(path == "", "/").otherwise(path)})
     x = x.join(hosts, x._host == hosts.host, "left")
-    return x.where(~F.coalesce(F.exists("prefixes", lambda p: F.col("_path").startswith(p)), F.lit(False))).select(*pages.columns)
+    hit = F.array_max(F.filter("_rules", lambda r: F.col("_path").startswith(r["prefix"])))
+    return x.where(F.coalesce(hit["allow"], F.lit(True))).select(*pages.columns)
 
 
 def _first(col: Column, *patterns: str) -> Column:

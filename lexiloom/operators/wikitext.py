@@ -35,7 +35,7 @@ def page_parts(pages: DataFrame, raw: str = "value") -> DataFrame:
 def infobox(text: Column) -> Column:
     """Map of the infobox's keys, in lower case, to their raw values; of a repeated key the first counts."""
     body = F.concat(F.lit("\n"), F.regexp_replace(text, r"\r\n?", "\n"))
-    key, value = r"(?m)^[ \t]*\|[ \t]*(\w+)[ \t]*=", r"(?ms)^[ \t]*\|[ \t]*\w+[ \t]*=[ \t]*(.*?)(?=\n[ \t]*\|[ \t]*\w+[ \t]*=|\n\}\}(?:\n(?![}|])|\z)|\z)"
+    key, value = r"(?m)^[ \t]*\|[ \t]*(\w+)[ \t]*=", r"(?ms)^[ \t]*\|[ \t]*\w+[ \t]*=[ \t]*(.*?)(?=\n[ \t]*\|[ \t]*\w+[ \t]*=|\n\}\}(?:\n(?![}|])|\{\{Unreliable sources|'|\z)|\z)"
     keys = F.transform(F.regexp_extract_all(body, F.lit(key), F.lit(1)), F.lower)
     pairs = F.arrays_zip(keys.alias("k"), F.regexp_extract_all(body, F.lit(value), F.lit(1)).alias("v"))
     first = F.filter(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), (F.array_position(keys, p["k"]) == i + 1).alias("first"))), lambda p: p["first"])
@@ -51,18 +51,21 @@ def clean_value(col: Column) -> Column:
     """Plain value of an attribute: dates and amounts written out, lists with commas, no markup; empty for null."""
     v = decode_char_refs(F.coalesce(col, F.lit("")))
     v = F.regexp_replace(F.regexp_replace(v, r"\n\|\s*$", ""), r"\n+", " \n")
-    date = r"(?i)\{\{\s*(?:start|end)[ _]*date\b[^|{}]*(?:\|[a-z]+=[^|{}]*)*\|(\d{4})%s(?:\|[^{}]*)?\}\}"
-    for tail, to in ((r"\|(\d{1,2})\|(\d{1,2})", "$1-$2-$3"), (r"\|(\d{1,2})", "$1-$2"), ("", "$1")):
-        v = F.regexp_replace(v, date % tail, to)
+    date = r"(?i)\{\{\s*(?:start|end)[ _]*date\b[^|{}]*(?:\|[^|={}]*=[^|{}]*)*\|(\d{4})(?:\|([^|{}]*))?(?:\|([^|{}]*))?(?:\|[^{}]*)?\}\}"
+    # month and day count each if they are digits; marks keep their places until the blanks go
+    v = F.regexp_replace(v, date, "$1\u0003$2\u0003$3\u0003")
+    v = F.regexp_replace(v, r"\u0003(?![ \t]*\d+[ \t]*\u0003)[^\u0003\n]*(?=\u0003)", "")
+    v = F.regexp_replace(F.regexp_replace(v, r"\u0003[ \t]*(\d+)[ \t]*(?=\u0003)", "-$1"), r"\u0003", "")
     for p in FOOTNOTES:
         v = F.regexp_replace(v, p, "")
     for unit, name in (("billion", " billion"), ("million", " million"), ("", "")):
         for kind, code in ((r"SK[ _]?won", "SK WON"), ("KRW", "KRW"), (r"USD|US\$", "USD")):
             inner = rf"([^{{}}|]*?)\s*{unit}" if unit else r"([^{}|]*?)"
             v = F.regexp_replace(v, rf"(?i)\{{\{{\s*(?:{kind})\s*\|\s*{inner}\s*(?:\|[^{{}}]*)?\}}\}}", f"$1{name} {code}")
+    v = F.regexp_replace(v, r"(?i)\{\{\s*based on\s*\|([^|{}]+)\|([^{}]+)\}\}", "$1 by $2")
+    v = F.regexp_replace(v, r"(?i)\[\[(?:file|image):[^\]]*\]\]|\{\{\s*(?:hidden|lang|korean|ko-h|ko-translit|efn|cite|ref)\b[^{}]*\}\}", "")
     for p, to in UNWRAP:
         v = F.regexp_replace(v, p, to)
-    v = F.regexp_replace(v, r"(?i)\[\[(?:file|image):[^\]]*\]\]|\{\{\s*(?:hidden|lang|korean|ko-h|ko-translit|efn|cite|ref)\b[^{}]*\}\}", "")
     lists = r"(?i)\{\{\s*(?:pl|plain ?list|ubl|flat ?list|h ?list|unbulleted[ _]list|theme song)\s*\|([^{}]*)\}\}"
     head = r"(?is)\{\{\s*(?:pl|plain ?list|ubl|flat ?list|h ?list|unbulleted[ _]list|theme song)\s*\|.*$"
 
@@ -72,13 +75,16 @@ def clean_value(col: Column) -> Column:
 
     v = let(v, opened)
     v = F.regexp_replace(F.regexp_replace(v, r"(?m)^\s*\*\s*", "* "), r"^\* ", "")
-    for p, to in ((r"\s*\n?\* ", ", "), (r"(?i)<br\s*/?\s*>", ", "), (r"\{\{[^{}]*\}\}", ""), (r"\{\{[^{}]*\}\}", ""), (r"\}\}\s*$", ""), (r"<[^>]+>", ""), (r"={2,}\s*[^=]+={2,}", ""), (r"\(\s*\)", ""), (r"\s+", " ")):
+    for p, to in ((r"\s*\n?\* ", ", "), (r"(?i)<br\s*/?\s*>", ", "), (r"\{\{[^{}]*\}\}", ""), (r"\{\{[^{}]*\}\}", ""), (r"\}\}\s*$", ""), (r"<[^>]+>", ""), (r"={2,}\s*[^=]+={2,}", ""), (r"\(\s*\)", ""), (r"\|[^=|]*=", ""), (r"\|", ", "), ("=", ""), (r"\s+", " ")):
         v = F.regexp_replace(v, p, to)
     return F.trim(F.regexp_replace(v, r"^[\s,]+|[\s,]+$", ""))
 
 
 def records(pages: DataFrame, country: str = "south korea", language: str = "korean") -> DataFrame:
-    """The 29 columns of a series record from (title, wiki_id, timestamp, username, text); pages without a matching infobox, country and language are left out."""
+    """The 29 columns of a series record from (title, wiki_id, timestamp, username, text); pages without a matching infobox, country and language are left out.
+
+    Texts of a dump are encoded twice: references are decoded before the markup rules and once more behind them.
+    """
     x = pages.where((F.col("text") != "") & has_infobox(F.col("text"))).withColumn("_box", infobox(F.col("text")))
     raw = {name: F.coalesce(*[F.try_element_at("_box", F.lit(k)) for k in keys]) for name, keys in ATTRIBUTES.items()}
     x = x.withColumns({f"_{n}": clean_value(raw[n]) for n in ("country", "language")})
@@ -86,4 +92,4 @@ def records(pages: DataFrame, country: str = "south korea", language: str = "kor
     x = x.withColumn("_values", F.transform(F.array(*raw.values()), clean_value))
     synopsis = F.coalesce(*[F.nullif(F.regexp_extract("text", rf"(?is)==\s*{h}\s*==(.*?)(?=\n==|\z)", 1), F.lit("")) for h in ("Synopsis", "Plot")])
     return x.select("wiki_id", decode_char_refs(F.col("title")).alias("title"), "timestamp", "username",
-                    *[F.get("_values", i).alias(n) for i, n in enumerate(ATTRIBUTES)], clean_value(synopsis).alias("synopsis"))
+                    *[decode_char_refs(F.get("_values", i)).alias(n) for i, n in enumerate(ATTRIBUTES)], decode_char_refs(clean_value(synopsis)).alias("synopsis"))

@@ -71,26 +71,26 @@ def _search_sql(idf: str, k: int = 5) -> str:
 
 @query(_search_sql("idf_log"))
 def tfidf_search_log(spark, root):
-    return index.search(_counts(spark, root), QUERY)
+    return index.search(table(spark, root, "documents"), QUERY)
 
 
 @query(_search_sql("idf_ordinary"))
 def tfidf_search_ordinary(spark, root):
-    return index.search(_counts(spark, root), QUERY, "idf_ordinary")
+    return index.search(table(spark, root, "documents"), QUERY, "idf_ordinary")
 
 
-STOP = "(" + ", ".join(f"'{w}'" for w in (*N.SEARCH_STOP_WORDS, *N.ENGLISH_STOP_WORDS)) + ")"
+STOP = "(" + ", ".join(f"'{w}'" for w in N.SEARCH_STOP_WORDS) + ")"
 
 
 @query(f"WITH {WORDS}, asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(string_split(lower(text), ' ')) AS term FROM eval_items) WHERE term <> '' AND term NOT IN {STOP} GROUP BY ALL), s AS (SELECT item_id, doc_id, round(sum(tf * idf_log * times), 6) AS score FROM tf JOIN vocab USING (term) JOIN asked USING (term) GROUP BY ALL) SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 3")
 def tfidf_search_batch(spark, root):
-    asked = table(spark, root, "eval_items").select("item_id", F.filter(index.words(F.col("text")), lambda w: ~w.isin(*N.SEARCH_STOP_WORDS, *N.ENGLISH_STOP_WORDS)).alias("terms"))
-    return index.search_batch(_counts(spark, root), asked)
+    asked = table(spark, root, "eval_items").select("item_id", F.filter(index.words(F.col("text")), lambda w: ~w.isin(*N.SEARCH_STOP_WORDS)).alias("terms"))
+    return index.search_batch(table(spark, root, "documents"), asked)
 
 
 @query(f"SELECT doc_id, score, coalesce(title, '(no title)') AS title, CASE WHEN length(text) > 120 THEN left(text, 120) || '...' ELSE coalesce(text, '') END AS shown FROM ({_search_sql('idf_log')}) JOIN documents USING (doc_id)")
 def search_with_metadata(spark, root):
-    hits = index.search(_counts(spark, root), QUERY)
+    hits = index.search(table(spark, root, "documents"), QUERY)
     shown = F.when(F.length("text") > 120, F.concat(F.substring("text", 1, 120), F.lit("..."))).otherwise(F.coalesce("text", F.lit("")))
     return table(spark, root, "documents").join(F.broadcast(hits), "doc_id").select("doc_id", "score", F.coalesce("title", F.lit("(no title)")).alias("title"), shown.alias("shown"))
 
@@ -131,25 +131,39 @@ def stopword_number_filter(spark, root):
 
 
 def _html(spark, root):
+    """HTML of each page; the ways to state author, date, description, tags and the article's region take turns by ``entity_id``."""
     e = table(spark, root, "entities")
     c = lambda n: F.coalesce(F.regexp_replace(n, "[\"'<>]", ""), F.lit(""))
-    tags = F.array_join(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.concat(F.lit('<a rel="tag">'), F.coalesce(t, F.lit("")), F.lit("</a>"))), "")
+    k = F.col("entity_id") % 4
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    turn = lambda *ways: F.when(k == 0, ways[0]).when(k == 1, ways[1]).when(k == 2, ways[2]).otherwise(ways[3])
+    author = turn(text('<meta name="author" content="', c("author"), '">'), text('<span class="author vcard"> <a class="n">', c("author"), "</a></span>"),
+                  text('<script type="application/ld+json">{"author": {"@type": "Person", "name": "', c("author"), '"}}</script>'), text('<META content="', c("author"), "\" name='author' />"))
+    date = turn(text('<meta content="', c("date"), '" property="article:published_time">'), text('<time class="entry-date published" datetime="', c("date"), '">x</time>'),
+                text('<script>{"datePublished": "', c("date"), '"}</script>'), text('<meta property="article:published_time" content=""><time class="published" datetime="', c("date"), '">x</time>'))
+    said = turn(text('<meta property="og:description" content="', c("description"), '">'), text('<meta name="description" content="', c("description"), '">'),
+                text('<meta content="', c("description"), '" property="description">'), text('<meta name="description" content=" "><meta content="', c("description"), '" property="og:description">'))
+    tag = F.when(k % 2 == 0, F.lit('<a rel="tag">')).otherwise(F.lit('<a class="post_tags" x="1">'))
+    tags = F.array_join(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.concat(tag, F.coalesce(t, F.lit("")), F.lit("</a>"))), "")
+    banner = F.when(k % 2 == 0, text('<section class="banner-top">', tags, "</section>")).otherwise(F.lit('<section class="banner-top"></section>'))
+    opened = turn(F.lit('<article class="x">'), F.lit('<div id="content" class="y">'), F.lit('<main class="z">'), F.lit(""))
+    closed = turn(F.lit("</article>"), F.lit('<div class="comments">Said</div></div>'), F.lit("</main>"), F.lit(""))
     return e.select("entity_id", "url", "tags", F.concat(
-        F.lit("<html><head><title>\n"), c("title"), F.lit('</title><meta name="author" content="'), c("author"), F.lit('"><meta content="'), c("date"), F.lit('" property="article:published_time"><meta property="og:description" content="'),
-        c("description"), F.lit('"><meta property="og:url" content="'), F.regexp_replace(c("url"), "/shows/", "/recaps/"), F.lit('"></head><body><nav>Home</nav><script>var a = "<p>";</script><article class="x"><p>'), c("description"), F.lit("</p><!-- note --><aside>Related</aside>"),
-        F.lit('<a href="/page/3/">3</a><a href="'), c("url"), F.lit('?q=1#top">self</a><a href="/tag/x/">t</a><a href="https://other.example/a">o</a></article>'), tags, F.lit("</body></html>")).alias("html"))
+        F.lit("<html><head><title>\n"), c("title"), F.lit("</title>"), author, date, said, F.lit('<meta property="og:url" content="'), c("url"), F.lit('"></head>'), banner, tags,
+        F.lit('<body><nav>Home</nav><script>var a = "<p>";</script>'), opened, F.lit("<p>"), c("description"), F.lit("</p><!-- note --><aside>Related</aside>"),
+        F.lit('<a href="/page/3/">3</a><a href="'), c("url"), F.lit('?q=1#top">self</a><a href="/tag/x/">t</a><a href="https://other.example/a">o</a>'), closed, F.lit("</body></html>")).alias("html"))
 
 
 _C = "coalesce(trim(regexp_replace(regexp_replace({c}, '[\"''<>]', '', 'g'), '\\s+', ' ', 'g')), '')"
 
 
-@query("SELECT entity_id, " + ", ".join(f"{_C.format(c=c)} AS {c}" for c in ("title", "author", "date", "description")) + f", replace({_C.format(c='url')}, '/shows/', '/recaps/') AS url FROM entities")
+@query("SELECT entity_id, " + ", ".join(f"{_C.format(c=c)} AS {c}" for c in ("title", "author", "date", "description")) + f", {_C.format(c='url')} AS url FROM entities")
 def page_attributes(spark, root):
     a = pages.attributes(F.col("html"))
     return _html(spark, root).select("entity_id", *[a[n].alias(n) for n in ("title", "author", "date", "description", "url")])
 
 
-@query("SELECT entity_id, array_to_string(list_filter(coalesce(tags, []), lambda t, i: length(trim(t)) > 1 AND list_position(tags, t) = i), '|') AS tags FROM entities")
+@query("SELECT entity_id, CASE WHEN contains(coalesce(url, ''), '/shows/') AND entity_id % 2 = 1 THEN '' ELSE array_to_string(list_filter(coalesce(tags, []), lambda t, i: length(trim(t)) > 1 AND list_position(tags, t) = i), '|') END AS tags FROM entities")
 def page_tags(spark, root):
     return _html(spark, root).select("entity_id", F.array_join(pages.attributes(F.col("html"))["tags"], "|").alias("tags"))
 
@@ -187,16 +201,17 @@ def page_log_latest(spark, root):
     return x.select("url", "x.*")
 
 
-@query("SELECT log_id FROM page_log WHERE status = 200 AND file LIKE '%.html' AND depth <= 6")
+@query("SELECT log_id FROM page_log WHERE status = 200 AND (file LIKE '%.html' OR log_id % 7 = 0) AND depth <= 6")
 def fetched_html(spark, root):
-    return table(spark, root, "page_log").where((F.col("status") == 200) & F.col("file").endswith(".html") & (F.col("depth") <= 6)).select("log_id")
+    kind = F.when(F.col("file").endswith(".html"), "text/html").when(F.col("log_id") % 7 == 0, "Text/HTML; charset=utf-8").when(F.col("log_id") % 7 == 1, "image/png")
+    return table(spark, root, "page_log").where(pages.is_html(F.col("status"), kind) & (F.col("depth") <= 6)).select("log_id")
 
 
-@query("SELECT DISTINCT log_id FROM page_log WHERE url IS NOT NULL AND NOT regexp_matches(url, '^https?://[^/]+/(tag|comment)') AND NOT (lower(url) LIKE '%haengul-notes.example/page/%')")
+@query("SELECT DISTINCT log_id FROM page_log WHERE url IS NOT NULL AND NOT regexp_matches(url, '^https?://[^/]+/(tag|comment)') AND NOT (lower(url) LIKE '%haengul-notes.example/page/%' AND NOT lower(url) LIKE '%haengul-notes.example/page/1%')")
 def robots_filter(spark, root):
     log = table(spark, root, "page_log").where("url is not null")
     hosts = log.select(pages.netloc(F.col("url")).alias("host")).distinct()
-    rules = hosts.select("host", F.explode(F.array(F.lit("/tag"), F.lit("/comment"))).alias("prefix")).unionByName(hosts.where(F.col("host").endswith("haengul-notes.example")).select("host", F.lit("/page/").alias("prefix")))
+    rules = hosts.select("host", F.explode(F.array(F.lit("/tag"), F.lit("/comment"))).alias("prefix")).unionByName(hosts.where(F.col("host").endswith("haengul-notes.example")).select("host", F.explode(F.array(F.lit("/page/"), F.lit("/page/1"))).alias("prefix"))).withColumn("allow", F.col("prefix") == "/page/1")
     return pages.robots_allowed(log, rules).select("log_id").distinct()
 
 
@@ -211,13 +226,13 @@ _REASON = "CASE WHEN length < 20000 THEN 'small' WHEN regexp_matches(lower(file)
 
 @query(f"SELECT log_id, {_REASON} AS reason FROM page_log WHERE file IS NOT NULL")
 def filter_reason(spark, root):
-    return table(spark, root, "page_log").where("file is not null").select("log_id", pages.skip_reason(F.col("file"), F.col("length"), PHRASES, 20000).alias("reason"))
+    return table(spark, root, "page_log").where("file is not null").select("log_id", pages.skip_reason(F.col("file"), F.col("length"), PHRASES, 20000, endings=("com", "example")).alias("reason"))
 
 
 @query(f"SELECT split_part(file, '_', 1) AS site, count(*) AS total, count(*) FILTER (WHERE {_REASON} IS NULL) AS kept FROM page_log WHERE file IS NOT NULL GROUP BY 1")
 def filter_stats(spark, root):
     x = table(spark, root, "page_log").where("file is not null")
-    return x.groupBy(F.split_part("file", F.lit("_"), F.lit(1)).alias("site")).agg(F.count("*").alias("total"), F.count_if(pages.skip_reason(F.col("file"), F.col("length"), PHRASES, 20000).isNull()).alias("kept"))
+    return x.groupBy(F.split_part("file", F.lit("_"), F.lit(1)).alias("site")).agg(F.count("*").alias("total"), F.count_if(pages.skip_reason(F.col("file"), F.col("length"), PHRASES, 20000, endings=("com", "example")).isNull()).alias("kept"))
 
 
 EDGES = "edges AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier)"
@@ -324,7 +339,8 @@ def joined_field_statistics(spark, root):
     return t.groupBy("field", "link", "len").agg(F.lit(1)).groupBy("field").agg(F.count("*").alias("docs"), F.round(F.avg("len"), 6).alias("avg_len"))
 
 
-BLANKABLE = ("creator", "based_on", "writer", "director", "starring", "music", "budget", "runtime", "genre", "first_aired", "last_aired")
+#: All attributes but names, network, language and country: a record with none of them says nothing.
+BLANKABLE = tuple(c for c in wikitext.ATTRIBUTES if c not in ("alt_name", "network", "language", "country"))
 
 
 @query(f"SELECT rec_id FROM {WIKI} WHERE " + " OR ".join(f"coalesce({c}, '') <> ''" for c in BLANKABLE))
@@ -378,9 +394,12 @@ _BOX = ("creator", "writer", "director", "music", "network", "company", "locatio
 
 
 def _wikitext(spark, root, box=_BOX):
+    """Wiki text of each record; an attribute's keys and the ends of the box take turns by ``rec_id``."""
     w = table(spark, root, WIKI)
-    rows = [F.concat(F.lit(f"| {'written_by' if c == 'writer' else c} = "), F.coalesce(F.col(c), F.lit("")), F.lit("\n")) for c in box]
-    text = F.concat(F.lit("Intro.\n{{Infobox television\n"), *rows, F.lit("}}\n\n== Plot ==\n"), F.coalesce("synopsis", F.lit("")), F.lit("\n\n== Cast ==\n* A"))
+    key = lambda c: F.get(F.array(*map(F.lit, wikitext.ATTRIBUTES[c])), (F.col("rec_id") % len(wikitext.ATTRIBUTES[c])).cast("int"))
+    rows = [F.concat(F.lit("| "), key(c), F.lit(" = "), F.coalesce(F.col(c), F.lit("")), F.lit("\n")) for c in box]
+    end = F.when(F.col("rec_id") % 3 == 0, "}}\n\n").when(F.col("rec_id") % 3 == 1, "}}{{Unreliable sources|x}}\n\n").otherwise("}}'\n\n")
+    text = F.concat(F.lit("Intro.\n{{Infobox television\n"), *rows, end, F.lit("== Plot ==\n"), F.coalesce("synopsis", F.lit("")), F.lit("\n\n== Cast ==\n* A"))
     return w.select("rec_id", "wiki_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("timestamp", F.lit("")).alias("timestamp"), F.coalesce("username", F.lit("")).alias("username"), text.alias("text"))
 
 

@@ -6,7 +6,7 @@ import pytest
 
 from lexiloom.functions import normalise as N
 from lexiloom.operators import crawl, index, linking, pages, wikitext
-from lexiloom.plans import reference
+from lexiloom.plans import extended, reference
 from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
@@ -25,10 +25,10 @@ def cell(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(reference.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(reference.oracle_sql() | extended.oracle_sql()))
 def test_sql(spark, duck, name):
-    df = reference.queries()[name](spark, DATA)
-    rel = duck.sql(reference.oracle_sql()[name])
+    df = (reference.queries() | extended.queries())[name](spark, DATA)
+    rel = duck.sql((reference.oracle_sql() | extended.oracle_sql())[name])
     assert sorted(df.columns) == sorted(rel.columns)
     cols = sorted(df.columns)
     got = sorted((tuple(cell(r[c]) for c in cols) for r in df.collect()), key=repr)
@@ -86,7 +86,7 @@ def test_tfidf_repeats_and_unknown(spark):
     c = index.term_counts(d)
     v = {r.term: (r.df, r.idf_ordinary) for r in index.vocabulary(c).collect()}
     assert v["a"] == (2, 0.0) and v["b"][0] == 1
-    one, two = (index.search(c, q).collect() for q in (["b"], ["b", "b", "zz"]))
+    one, two = (index.search(d, q).collect() for q in (["b"], ["b", "b", "zz"]))
     assert round(one[0].score * 2, 5) == round(two[0].score, 5)
 
 

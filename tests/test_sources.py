@@ -15,7 +15,7 @@ def test_round_trips(spark, tmp_path):
     assert len(r) == 1 and r[0].size == 17 and r[0].html.startswith("<title>A")
     t = {x.site: x.text for x in readers.text_files(spark, root).where("path like '%t.txt'").collect()}
     assert t == {"a.example": "two\nlines"}
-    assert [tuple(x) for x in readers.robots_rules(spark, root).collect()] == [("a.example", "/tag")]
+    assert [tuple(x) for x in readers.robots_rules(spark, root).collect()] == [("a.example", "/tag", False)]
     (tmp_path / "e.jsonl").write_text('{"file": "f", "title": "1", "tags": ["a"]}\nnot json\n{"file": "f", "title": "2"}\n')
     e = readers.entity_lines(spark, str(tmp_path / "e.jsonl")).where("file is not null")
     assert sorted(x.title for x in e.collect()) == ["1", "2"]
