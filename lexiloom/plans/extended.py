@@ -52,7 +52,7 @@ def _stored(spark, root):
 
 @query(f"WITH {_TOKENS} SELECT rec_id, field, term, n, len FROM n")
 def index_fields(spark, root):
-    return spark.read.parquet(f"{_stored(spark, root)}/field_tokens").select("rec_id", "field", "term", "n", "len")
+    return spark.read.parquet(f"{_stored(spark, root)}/field_tokens").select("rec_id", "field", "term", "n", F.col("len").cast("bigint").alias("len"))
 
 
 @query(f"WITH {_HITS} SELECT rec_id, score FROM found")
