@@ -28,6 +28,7 @@ if small.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
@@ -47,7 +48,6 @@ MIN_HOSTS, APART, RARE = 3, 0.95, 0.002
 NODE, SENTENCE, LIKENESS, LINE = 1.5, 2.0, 1.5, 0.9
 MOST_WORDS = 16
 
-_BLANKS = re.compile(r"[\s  -​  　﻿]+")
 _DIGITS = re.compile(r"\d[\d.,]*")
 _PREFIX = re.compile(r"([^\s:»]+(?: [^\s:»]+){0,3}\s?[:»]) ")
 _END = re.compile(r"[.!?。！？][\"”'’」』)]?$")
@@ -63,22 +63,41 @@ def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
+_KNOWN: dict[str, tuple] = {}
+MOST_KNOWN = 100_000
+
+
+def _line(s: str) -> tuple:
+    """(label, prefix, sentence, size, words for likeness, hashes of words) of a line; constant lines come again and again."""
+    found = _KNOWN.get(s)
+    if found is None:
+        label = _DIGITS.sub("#", s)
+        prefix = _PREFIX.match(label)
+        sentence = bool(_END.search(s[-2:])) and not _OPEN.search(s[-3:]) and (s.count(" ") >= 3 or len(_WIDE.findall(s)) >= 10)
+        names, hashes = [], []
+        if not sentence:
+            parts = [p for p in _PARTS.split(label) if p]
+            if len(parts) <= MOST_WORDS:
+                names = _WORD.findall(s.lower().replace("_", " "))
+                hashes = [_hash(p) for p in parts] if len(parts) > 1 else []
+        found = (_hash(label), _hash("\0" + prefix.group(1)) if prefix else 0, sentence, len(s), names, hashes)
+        if not sentence:
+            if len(_KNOWN) >= MOST_KNOWN:
+                _KNOWN.clear()
+            _KNOWN[s] = found
+    return found
+
+
 def lines_of(text: str, stem: str) -> list[tuple]:
     """(line_no, label, prefix, sentence, size, alike, words) of the non-blank lines of a text."""
     name = set(_WORD.findall(stem.lower().replace("_", " ")))
+    text = text.replace("\u200b", " ").replace("\ufeff", " ")
     out = []
     for i, raw in enumerate(text.split("\n")):
-        s = _BLANKS.sub(" ", raw).strip()
-        if not s:
-            continue
-        label = _DIGITS.sub("#", s)
-        prefix = _PREFIX.match(label)
-        sentence = bool(_END.search(s)) and not _OPEN.search(s) and (s.count(" ") >= 3 or len(_WIDE.findall(s)) >= 10)
-        parts = [p for p in _PARTS.split(label) if p]
-        short = len(parts) <= MOST_WORDS
-        words = [w for w in _WORD.findall(s.lower().replace("_", " "))] if short and not sentence else []
-        alike = bool(words) and bool(name) and sum(w in name for w in words) >= 0.6 * len(words)
-        out.append((i + 1, _hash(label), _hash("\0" + prefix.group(1)) if prefix else 0, sentence, len(s), alike, [_hash(p) for p in parts] if short and len(parts) > 1 and not sentence else []))
+        s = " ".join(raw.split())
+        if s:
+            label, prefix, sentence, size, names, hashes = _line(s)
+            out.append((i + 1, label, prefix, sentence, size, bool(names) and bool(name) and sum(w in name for w in names) >= 0.6 * len(names), hashes))
     return out
 
 
@@ -142,7 +161,7 @@ def templates(pages: DataFrame) -> DataFrame:
     apart = lambda share: F.col("all_n") >= share * F.col("lines")
     head = by_host & (F.col("n") > 1) & apart(0.5) | (F.col("hosts") >= MIN_HOSTS) & apart(APART) & (F.col("share") >= RARE)
     kept = known.where(F.when(F.col("region") == "slot", slot).when(F.col("region") == "head", head).when(F.col("region") == "foot", by_host & (F.col("n") > 1)).otherwise(False))
-    return kept.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("pos", "label", "region", "words"))).alias("nodes"))
+    return kept.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("pos", "label", "region", "words"))).alias("nodes")).withColumn("nodes", F.transform("nodes", lambda x: F.struct(x["label"].alias("label"), x["region"].alias("region"), x["words"].alias("words"))))
 
 
 def simple_tree_matching(line: list[int], node: list[int]) -> int:
@@ -160,7 +179,7 @@ class Template:
 
     def __init__(self, nodes: list[dict]) -> None:
         self.slot, self.head, self.foot = ({x["label"] for x in nodes if x["region"] == r} for r in ("slot", "head", "foot"))
-        self.menus = [list(x["words"]) for x in nodes if x["region"] == "head" and x["words"] is not None and len(x["words"]) > 1]
+        self.menus = [list(x["words"]) for x in nodes if x["region"] == "head" and x.get("words") is not None and len(x["words"]) > 1]
         self.words = {w for m in self.menus for w in m}
         self.seen: dict[int, bool] = {}
 
@@ -227,7 +246,7 @@ def _align(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if template is None:
                 if len(known) > 500:
                     known.clear()
-                template = known[page["host"]] = Template([] if page["nodes"] is None else list(page["nodes"]))
+                template = known[page["host"]] = Template(json.loads(page["nodes"] or "[]"))
             found = frame(page, template)
             ids += [page["page_id"]] * len(found)
             numbers += found
@@ -241,5 +260,6 @@ def frame_lines(df: DataFrame) -> DataFrame:
     template; repeated pages are judged each, but count once in their host's template.
     """
     pages = with_varying(cut(page_lines(df)))
-    joined = pages.join(templates(pages), "host", "left").drop("path")
+    # as text a template is read once a host and task, not once a page
+    joined = pages.join(templates(pages).withColumn("nodes", F.to_json("nodes")), "host", "left").drop("path")
     return joined.mapInPandas(_align, "page_id bigint, line_no int")
