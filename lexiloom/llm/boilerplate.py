@@ -142,7 +142,8 @@ def templates(pages: DataFrame) -> DataFrame:
         return F.when((i < F.col("first") - 1) & ~F.get("alike", i), "head").when(i > F.col("last"), "foot").when(i >= F.col("first"), "slot")
 
     def node(label: Column, i: Column) -> Column:
-        return F.struct(label.alias("label"), region(i).alias("region"), (i / F.col("n")).alias("pos"), F.when(region(i) == "head", F.get("words", i)).alias("words"))
+        # varying sentences are no constant nodes: they are left out before the shuffle
+        return F.struct(label.alias("label"), F.when(~F.get("v", i), region(i)).alias("region"), (i / F.col("n")).alias("pos"), F.when(region(i) == "head", F.get("words", i)).alias("words"))
 
     def named(prefix: Column, i: Column) -> Column:
         place = F.when(i < F.col("first") - 1, "head").when(i < F.col("first"), "above").when(i > F.col("last"), "list").otherwise("slot")
@@ -152,6 +153,7 @@ def templates(pages: DataFrame) -> DataFrame:
     both = F.filter(both, lambda p: p["region"].isNotNull())
     nodes = x.select("host", "path", F.explode(both).alias("x")).groupBy("host", "x.label", "x.region", "path").agg(F.avg("x.pos").alias("pos"), F.first("x.words").alias("words"))
     per_host = nodes.groupBy("host", "label", "region").agg(F.count("*").alias("n"), F.avg("pos").alias("pos"), F.first("words").alias("words")).join(sizes, "host")
+    per_host = cut(per_host)
     overall = per_host.groupBy("label", "region").agg((F.sum("n") / F.sum("pages")).alias("share"), F.sum("n").alias("all_n"), F.count("*").alias("hosts"))
     lines = per_host.groupBy("label").agg(F.sum("n").alias("lines"))
     known = per_host.join(overall.join(lines, "label"), ["label", "region"])
@@ -259,7 +261,7 @@ def frame_lines(df: DataFrame) -> DataFrame:
     Blank lines never count. Null and blank texts give no row; pages of unknown hosts share one
     template; repeated pages are judged each, but count once in their host's template.
     """
-    pages = with_varying(cut(page_lines(df)))
+    pages = cut(with_varying(cut(page_lines(df))))
     # as text a template is read once a host and task, not once a page
     joined = pages.join(templates(pages).withColumn("nodes", F.to_json("nodes")), "host", "left").drop("path")
     return joined.mapInPandas(_align, "page_id bigint, line_no int")
