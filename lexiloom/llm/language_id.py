@@ -119,7 +119,7 @@ class Chain:
             for k, i in enumerate(group):
                 rows = self.rows(chains[i])
                 scores[k, :len(rows)] = self.table[rows]
-            marginal, _, _ = forward_backward(scores, sizes, self.transition)
+            marginal, _, _ = forward_backward(scores, sizes, self.transition, with_pairs=False)
             out[group] = marginal.sum(1)
             start = stop
         return out
@@ -190,7 +190,7 @@ class Chain:
         return out
 
 
-def forward_backward(scores: np.ndarray, sizes: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def forward_backward(scores: np.ndarray, sizes: np.ndarray, transition: np.ndarray, with_pairs: bool = True) -> tuple[np.ndarray, np.ndarray, float]:
     """Marginals (zero behind a chain's end), expected transitions and the log normaliser of padded chains."""
     b, n, k = scores.shape
     top = scores.max(2, keepdims=True)
@@ -212,7 +212,8 @@ def forward_backward(scores: np.ndarray, sizes: np.ndarray, transition: np.ndarr
         if i:
             back = e[:, i] * beta / scale[i][:, None]
             on = live[:, i, None]
-            pairs += t * (np.where(on, alpha[i - 1], 0).T @ np.where(on, back, 0))
+            if with_pairs:
+                pairs += t * (np.where(on, alpha[i - 1], 0).T @ np.where(on, back, 0))
             beta = np.where(on, back @ t.T, beta)
     log_z = float(np.log(scale).sum() + (top[:, :, 0] * live).sum())
     return marginal.transpose(1, 0, 2), pairs, log_z
@@ -233,10 +234,14 @@ def fit(chains: list[list[str]], targets: list[int], labels: list[str], rounds:
     order = np.argsort([len(i) for i in ids])
     groups = [order[i:i + 1024] for i in range(0, len(order), 1024)]
     weight = 1.0 / max(1, sum(map(len, ids)))
+    seen = np.stack([np.bincount(np.concatenate([i for i, t in zip(ids, target) if t == j] or [np.array([], np.int64)]), minlength=v) for j in range(k)], 1)
     for _ in range(rounds):
         table = np.stack([np.bincount(owner, emission[flat, j], v) for j in range(k)], 1)
         g_word, g_pairs = np.zeros((v, k)), np.zeros((k, k))
-        for group in groups:
+        if not step:  # without transitions a word's marginals are its own
+            e = np.exp(table - table.max(1, keepdims=True))
+            g_word = seen - seen.sum(1, keepdims=True) * e / e.sum(1, keepdims=True)
+        for group in groups if step else ():
             sizes = np.array([len(ids[i]) for i in group])
             words_ = np.zeros((len(group), sizes.max()), np.int64)
             live = np.arange(sizes.max())[None, :] < sizes[:, None]
