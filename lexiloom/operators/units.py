@@ -86,9 +86,9 @@ def budgets(df: DataFrame, key: str, field: str, rates: DataFrame, default: str
 
     ``rates`` (currency, krw_per_unit) joins on the currency code; of repeated codes the highest rate
     counts. An amount without a currency or any other word is in ``default``, the source's currency; without one, or
-    without an amount, or with null or blank text: no row.
+    without an amount, beyond the range of bigint, or with null or blank text: no row.
     """
-    rate = rates.groupBy(F.upper("currency").alias("cur")).agg(F.max("krw_per_unit").cast("decimal(18,0)").alias("rate"))
+    rate = rates.groupBy(F.upper("currency").alias("cur")).agg(F.max("krw_per_unit").cast("decimal(10,0)").alias("rate"))
     per = r"per[ -]episode|an episode|each episode|a episode|/ ?ep(?:isode)?\b\.?|\bper ep\b\.?|회당|편당|每集"
     t = _amount_text(F.col(field))
     x = df.select(key, t.alias("t")).where(F.col("t").rlike(r"\d"))
@@ -106,9 +106,6 @@ def budgets(df: DataFrame, key: str, field: str, rates: DataFrame, default: str
         e = F.regexp_extract(text, r"e(\d+)$", 1).try_cast("int")
         return F.coalesce(e, _lookup(SCALES, F.regexp_replace(scale, r"[\s.]", ""), "int"))
 
-    def shift(p: Column) -> Column:
-        return F.concat(F.lit("1"), F.repeat(F.lit("0"), p)).cast("decimal(18,0)")
-
     cur = F.lit(None).cast("string")
     for name in ("g1", "g4", "g5", "g8"):
         cur = F.coalesce(cur, F.when(F.col(name) != "", _lookup(CURRENCY_ALIASES, F.col(name), "string")))
@@ -117,7 +114,8 @@ def budgets(df: DataFrame, key: str, field: str, rates: DataFrame, default: str
     p2, p6 = power(F.col("g2"), F.col("g3")), power(F.col("g6"), F.col("g7"))
     x = x.select(key, "per", cur.alias("cur"), low.alias("low"), high.alias("high"),
                  F.coalesce(p2, F.when(F.col("g6") != "", p6), F.lit(0)).alias("p2"), F.coalesce(p6, p2, F.lit(0)).alias("p6")).join(rate, "cur")
-    won = lambda n, p: F.round(n * shift(F.col(p)) * F.col("rate")).cast("bigint")
+    scaled = lambda n, p: F.concat(n.cast("string"), F.lit("e"), F.col(p).cast("string")).try_cast("decimal(27,6)")
+    won = lambda n, p: F.round(F.try_multiply(scaled(n, p), F.col("rate"))).try_cast("bigint")
     x = x.select(key, F.lit(field).alias("field"), F.when(F.col("per"), "krw_per_episode").otherwise("krw").alias("unit"),
                  won(F.col("low"), "p2").alias("low"), F.coalesce(won(F.col("high"), "p6"), won(F.col("low"), "p2")).alias("high"))
     return x.where(F.col("low").isNotNull())

@@ -33,3 +33,10 @@ def test_budget_without_currency_takes_the_default(spark):
     got = {(r.rec_id, r.unit, r.low, r.high) for r in budgets(df, "rec_id", "budget", rates, "KRW").collect()}
     assert got == {(1, "krw", 3_500_000_000, 3_500_000_000), (2, "krw", 2_620_000_000, 2_620_000_000), (4, "krw_per_episode", 1_500_000_000, 2_000_000_000), (7, "krw", 900_000, 900_000)}
     assert {r.rec_id for r in budgets(df, "rec_id", "budget", rates).collect()} == {2}
+
+
+def test_amounts_at_the_end_of_the_range(spark):
+    rates = spark.createDataFrame([("KRW", 1), ("USD", 1310)], "currency string, krw_per_unit bigint")
+    df = spark.createDataFrame([(1, "$2.5 \\times 10^{18}$ won"), (2, "0.000001 x 10^20 USD"), (3, "9 x 10^19 won"), (4, "1 x 10^200 won"), (5, "7 x 10^0 won")], "rec_id bigint, budget string")
+    got = {r.rec_id: r.low for r in budgets(df, "rec_id", "budget", rates).collect()}
+    assert got == {1: 2_500_000_000_000_000_000, 2: 131_000_000_000_000_000, 5: 7}
