@@ -339,7 +339,8 @@ def verify(df: DataFrame, pairs: DataFrame, items: list[tuple[int, list[str]]],
                 words = fold(text)
                 for f in found:
                     (item, held), starts = of[f["item_id"]], list(f["starts"])
-                    need, reach = len(item) * share, max(len(item), bounds(len(item), share)[1])
+                    need, (least, within) = len(item) * share, bounds(len(item), share)
+                    reach = max(len(item), within)
                     best = (0, 0)
                     at = 0
                     while at < len(starts):
@@ -348,7 +349,9 @@ def verify(df: DataFrame, pairs: DataFrame, items: list[tuple[int, list[str]]],
                             end += 1
                         part = words[max(0, starts[at] - reach):starts[end] + WINDOW + reach]
                         at = end + 1
-                        if sum(p in held for p in zip(part, part[1:])) >= need * 5 / 6 - 1:
+                        # only a part with as many of the item's pairs, as close, as an accepted stretch must have is aligned
+                        hit = [i for i, p in enumerate(zip(part, part[1:])) if p in held]
+                        if any(b - a + 2 <= within for a, b in zip(hit, hit[least - 1:])):
                             best = max(best, stretch(part, item))
                     if best[0] >= need - 1e-9:
                         out.append((key, f["item_id"], best[0], best[1], len(item)))
