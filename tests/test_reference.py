@@ -130,3 +130,71 @@ def test_all_attributes_come_back_from_the_infobox(spark):
     assert {r[0]: r[1:] for r in got.collect()} == want
     records = reference.queries()["wiki_records"](spark, DATA)
     assert len(records.columns) == 29 and records.count() == reference.queries()["wiki_qualify"](spark, DATA).count()
+
+
+def test_steps_in_paths_at_any_depth(spark):
+    cases = {"https://h.example/a/b/../c": "https://h.example/a/c", "https://h.example/a/b/c/d/e/f/../../../../../g": "https://h.example/a/g", "https://h.example/../../x/./y?q=../z": "https://h.example/x/y?q=../z",
+             "https://h.example/a/..": "https://h.example/", "https://h.example/a.b/c..d": "https://h.example/a.b/c..d", "https://h.example": "https://h.example", None: None}
+    df = spark.createDataFrame([(k,) for k in cases], "u string")
+    assert [r.x for r in df.select(pages.undotted(F.col("u")).alias("x")).collect()] == list(cases.values())
+
+
+def test_page_rules(spark):
+    rows = [("a_com.html", 900, "a", "x", "root"), ("www_a_com_2_1.html", 900, "a", "x", "root"), ("index.html", 900, "a", "x", "root"), ("a_com_show.html", 900, "a", "x", None), ("a_com_show.html", 499, "a", "x", "small"), ("a_org.html", 900, "a", "x", None),
+            ("a_news.html", 900, "a", "x", "phrase"), ("a_news.html", 900, "b", "x", None), ("b_x.html", 900, "c", "nothing", "topic"), ("b_x.html", 900, "c", "a K-Drama page", None), ("b_x.html", 900, "c", None, "topic"), (None, 900, "c", "k-drama", None)]
+    df = spark.createDataFrame(rows, "name string, size int, site string, html string, want string")
+    got = df.select("want", pages.skip_reason(F.col("name"), F.col("size"), {"a": ("news",)}, 500, F.col("site"), F.col("html"), {"c": ("k-drama",)}).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+    types = spark.createDataFrame([(200, "Text/HTML; charset=x"), (200, "image/png"), (404, "text/html"), (200, None), (None, "text/html")], "status int, kind string")
+    assert [r.ok for r in types.select(pages.is_html(F.col("status"), F.col("kind")).alias("ok")).collect()] == [True, False, False, False, False]
+
+
+def test_longest_robots_rule_decides(spark):
+    rules = spark.createDataFrame([("h.example", "/a", False), ("h.example", "/a/b", True), ("h.example", "/a/b/c", False), ("h.example", "/x", False), ("h.example", "/x", True)], "host string, prefix string, allow boolean")
+    urls = spark.createDataFrame([(f"https://h.example{p}",) for p in ("", "/a/z", "/a/b/z", "/a/b/c/z", "/x/1")] + [("https://o.example/a",)], "url string")
+    assert {r.url for r in pages.robots_allowed(urls, rules).collect()} == {"https://h.example", "https://h.example/a/b/z", "https://h.example/x/1", "https://o.example/a"}
+
+
+def test_stored_index_reads_only_the_asked_terms(spark, tmp_path):
+    rows = [(1, "Red lamp", "ab", "1"), (2, "Blue lamp lamp", None, "2"), (3, "", "  ", None), (4, None, "lamp", "1"), (5, "Red lamp", "ab", "1")]
+    df = spark.createDataFrame(rows, "k bigint, title string, alt string, seasons string")
+    path = str(tmp_path / "index")
+    index.store_fields(df, "k", path, ("title", "alt"), ("seasons",), ("alt",))
+    got = index.search_index(spark, path, "k", ["lamp", "1", "zz"])
+    want = index.search_fields(index.field_terms(df, "k", ("title", "alt"), ("seasons",)), "k", ["lamp", "1", "zz"])
+    assert got.collect() == want.collect() and got.count() == 4
+    plan = index.search_index(spark, path, "k", ["lamp"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(term), EqualTo(term,lamp)" in plan
+    shown = {(r.field, r.value) for r in index.stored_rows(spark, path, got.where("k = 2"), "k", ("alt",)).collect()}
+    assert shown == {("title", "Blue lamp lamp"), ("seasons", "2")}
+    assert index.search_index(spark, path, "k", ["nothing"]).count() == 0 and index.search_index(spark, path, "k", []).count() == 0
+
+
+def test_search_drops_stop_words(spark):
+    d = spark.createDataFrame([(1, "a b"), (2, "b"), (3, None)], "doc_id bigint, text string")
+    assert [r.doc_id for r in index.search(d, ["a", "b"], stop_words=("b",)).collect()] == [1]
+    assert index.search(d, ["b"], stop_words=("b",)).count() == 0
+
+
+def test_postings_blocks_hold_every_posting(spark):
+    d = spark.createDataFrame([(i, "x y" if i % 2 else "x") for i in range(50)], "doc_id bigint, text string")
+    b = index.postings_blocks(index.term_counts(d), 16).collect()
+    assert sorted(i for r in b if r.term == "x" for i in r.ids) == list(range(50)) and max(len(r.ids) for r in b) <= 16
+    assert {r.term: r.doc_freq for r in index.postings(index.term_counts(d)).collect()} == {"x": 50, "y": 25}
+
+
+def test_linked_rows_have_all_columns(spark):
+    e = spark.createDataFrame([(1, "f", "d.example", "Quiet\tLamp: Episode 1", None, None, "a\r\nb", "https://d.example/1", ["quiet lamp", "x"]), (2, "f", "d.example", "Quiet\tLamp: Episode 1", "later", None, None, "https://d.example/1", None), (3, "g", None, None, None, None, None, None, None)],
+                              "entity_id bigint, file string, domain string, title string, author string, date string, description string, url string, tags array<string>")
+    cols = ["title", "timestamp", "username", *wikitext.ATTRIBUTES, "synopsis"]
+    w = spark.createDataFrame([(1, "w1", "Quiet Lamp (2016)", "2020", "u", *["v\n1"] * 24, None), (2, "w1", "Quiet Lamp (2016)", "2021", "u", *["v\n2"] * 24, "s")], "rec_id bigint, wiki_id string, " + ", ".join(f"{c} string" for c in cols))
+    x = linking.attach(linking.link(e, w), e, w)
+    assert len(x.columns) == 40 and x.columns == list(linking.OUTPUT)
+    r = [r for r in x.collect() if r.match_type == "title"][0]
+    assert (r.title, r.description, r.tags, r.writer, r.synopsis, r.wiki_title_clean, r.author) == ("Quiet Lamp: Episode 1", "a b", "quiet lamp|x", "v 2", "s", "quiet lamp", None)
+
+
+def test_dump_text_is_decoded_twice(spark):
+    page = "<page><title>T</title><id>1</id><revision><timestamp>t</timestamp><contributor><username>u</username></contributor><text>{{Infobox television\n| country = South Korea\n| language = Korean\n| writer = A&amp;nbsp;B &amp;amp; C\n| network = N\n}}{{Unreliable sources}}\n== Plot ==\nP</text></revision>"
+    r = wikitext.records(wikitext.page_parts(spark.createDataFrame([(page,)], "value string"))).first()
+    assert r.writer == "A B & C" and r.network == "N" and r.synopsis == "P"
