@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import boilerplate, bpe, language_id, leaks, linkage, markup, token_budget
+from lexiloom.operators.index import corpus_totals
 from lexiloom.runtime import table
 
 WIKI = "wiki_kdrama_final1_parquet"
@@ -53,6 +54,12 @@ def p6_documents(spark: SparkSession, root: str) -> DataFrame:
     return _document_tokens(spark, root)
 
 
+def p6_globals(spark: SparkSession, root: str) -> DataFrame:
+    """Totals of the corpus: documents, words, sites and vocabulary, and its tokens under the public tokenizer."""
+    tokens = _document_tokens(spark, root).agg(F.lit("tokens").alias("name"), F.sum("tokens").alias("value"))
+    return corpus_totals(table(spark, root, "documents")).unionByName(tokens)
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     """Token ids of every document."""
     return bpe.encode(table(spark, root, "documents"), "doc_id", "text")
@@ -81,7 +88,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_links": p1_links, "p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p6_totals": p6_totals, "p6_documents": p6_documents, "p8_ids": p8_ids,
+    return {"p1_found": p1_found, "p1_links": p1_links, "p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p6_totals": p6_totals, "p6_documents": p6_documents, "p6_globals": p6_globals, "p8_ids": p8_ids,
             "p9_found": p9_found, "p9_leaks": p9_leaks,
             "p10_found": p10_found, "p10_segments": p10_segments}
 

@@ -74,3 +74,11 @@ def test_labels(spark):
     cases = {"EN": "en", "eng": "en", "en-US": "en", "English": "en", "ja_JP": "ja", "Indonesian": "id", "ind": "id", " Korean ": "ko", "und": None, "unknown": None, "": None, None: None, "pt-BR": "pt"}
     got = spark.createDataFrame([(k,) for k in cases], "l string").select(language_code(F.col("l")).alias("c")).collect()
     assert [r.c for r in got] == list(cases.values())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_globals_have_five_rows(spark):
+    from lexiloom.llm import queries
+
+    got = {r.name: r.value for r in queries.p6_globals(spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == {"documents", "words", "sites", "vocabulary", "tokens"} and got["tokens"] == sum(r.tokens for r in queries.p6_documents(spark, "/root/testdata/sf0.001").collect())
