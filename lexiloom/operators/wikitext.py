@@ -48,8 +48,15 @@ def has_infobox(text: Column, kinds: tuple[str, ...] = INFOBOX_KINDS) -> Column:
 
 
 def clean_value(col: Column) -> Column:
-    """Plain value of an attribute: dates and amounts written out, lists with commas, no markup; empty for null."""
-    v = decode_char_refs(F.coalesce(col, F.lit("")))
+    """Plain value of an attribute: dates and amounts written out, lists with commas, no markup; empty for null.
+
+    Values without any sign of markup skip its rules.
+    """
+    return let(F.coalesce(col, F.lit("")), lambda v: F.when(v.rlike(r"[&<>{}\[\]*'|=~_`\\(\n]"), _marked_value(v)).otherwise(F.trim(F.regexp_replace(F.regexp_replace(v, r"\s+", " "), r"^[\s,]+|[\s,]+$", ""))))
+
+
+def _marked_value(col: Column) -> Column:
+    v = decode_char_refs(col)
     v = F.regexp_replace(F.regexp_replace(v, r"\n\|\s*$", ""), r"\n+", " \n")
     date = r"(?i)\{\{\s*(?:start|end)[ _]*date\b[^|{}]*(?:\|[^|={}]*=[^|{}]*)*\|(\d{4})(?:\|([^|{}]*))?(?:\|([^|{}]*))?(?:\|[^{}]*)?\}\}"
     # month and day count each if they are digits; marks keep their places until the blanks go
@@ -85,11 +92,15 @@ def records(pages: DataFrame, country: str = "south korea", language: str = "kor
 
     Texts of a dump are encoded twice: references are decoded before the markup rules and once more behind them.
     """
-    x = pages.where((F.col("text") != "") & has_infobox(F.col("text"))).withColumn("_box", infobox(F.col("text")))
-    raw = {name: F.coalesce(*[F.try_element_at("_box", F.lit(k)) for k in keys]) for name, keys in ATTRIBUTES.items()}
-    x = x.withColumns({f"_{n}": clean_value(raw[n]) for n in ("country", "language")})
-    x = x.where(F.lower("_country").contains(country) & F.lower("_language").contains(language))
-    x = x.withColumn("_values", F.transform(F.array(*raw.values()), clean_value))
+    value = lambda box, name: F.coalesce(*[F.try_element_at(box, F.lit(k)) for k in ATTRIBUTES[name]])
+
+    def qualifies(box: Column) -> Column:
+        return F.lower(clean_value(value(box, "country"))).contains(country) & F.lower(clean_value(value(box, "language"))).contains(language)
+
+    # the box of a page is read once: a test on an array's element isn't copied below the step that makes it
+    x = pages.where((F.col("text") != "") & has_infobox(F.col("text"))).select(
+        "wiki_id", "title", "timestamp", "username", "text", F.explode(F.filter(F.array(infobox(F.col("text"))), qualifies)).alias("_box"))
+    x = x.withColumn("_values", F.transform(F.array(*[value(F.col("_box"), n) for n in ATTRIBUTES]), clean_value))
     synopsis = F.coalesce(*[F.nullif(F.regexp_extract("text", rf"(?is)==\s*{h}\s*==(.*?)(?=\n==|\z)", 1), F.lit("")) for h in ("Synopsis", "Plot")])
     return x.select("wiki_id", decode_char_refs(F.col("title")).alias("title"), "timestamp", "username",
                     *[decode_char_refs(F.get("_values", i)).alias(n) for i, n in enumerate(ATTRIBUTES)], decode_char_refs(clean_value(synopsis)).alias("synopsis"))

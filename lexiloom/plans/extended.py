@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from lexiloom.functions import normalise as N
 from lexiloom.functions.domains import host_of
 from lexiloom.functions.register import decode_entities as decode_udf
-from lexiloom.functions.text import decode_char_refs
+from lexiloom.functions.text import decode_char_refs, let
 from lexiloom.operators import index, linking, pages, wikitext
 from lexiloom.plans import reference as R
-from lexiloom.runtime import shared_folder, table
+from lexiloom.runtime import cut, shared_folder, table
 
 WIKI = R.WIKI
 Q: dict = {}
@@ -207,16 +207,16 @@ def wiki_dump_records(spark, root):
 
     def line(c: str):
         keys = wikitext.ATTRIBUTES[c]
-        v = _plain(c)
-        value = (F.when(v == "", "").when(k % 5 == 1, F.concat(F.lit("[[Link|"), v, F.lit("]]"))).when(k % 5 == 2, F.concat(F.lit("'''"), v, F.lit("'''&lt;ref name=x&gt;n&lt;/ref&gt;")))
-                 .when(k % 5 == 3, F.concat(v, F.lit("&amp;nbsp;&amp;amp; Z"))).when(k % 5 == 4, F.concat(F.lit("{{ubl|"), v, F.lit("|B}}"))).otherwise(v))
+        value = let(_plain(c), lambda v: F.when(v == "", "").when(k % 5 == 1, F.concat(F.lit("[[Link|"), v, F.lit("]]"))).when(k % 5 == 2, F.concat(F.lit("'''"), v, F.lit("'''&lt;ref name=x&gt;n&lt;/ref&gt;")))
+                    .when(k % 5 == 3, F.concat(v, F.lit("&amp;nbsp;&amp;amp; Z"))).when(k % 5 == 4, F.concat(F.lit("{{ubl|"), v, F.lit("|B}}"))).otherwise(v))
         return F.concat(F.lit("| "), F.get(F.array(*map(F.lit, keys)), (k % len(keys)).cast("int")), F.lit(" = "), value, F.lit("\n"))
 
     end = F.when(k % 3 == 0, "}}\nText\n\n").when(k % 3 == 1, "}}{{Unreliable sources|x}}\n\n").otherwise("}}'\n\n")
     text = F.concat(F.lit("{{Infobox television\n"), *[line(c) for c in wikitext.ATTRIBUTES], end, F.when(k % 2 == 0, "== Plot ==\n").otherwise("== Synopsis ==\n"), _plain("synopsis"), F.lit("\n== Cast ==\n* A"))
     page = F.concat(F.lit("  <page>\n<title>"), _plain("title"), F.lit("</title>\n<id>"), F.coalesce("wiki_id", F.lit("")), F.lit("</id>\n<revision><id>9</id><timestamp>"), F.coalesce("timestamp", F.lit("")),
                     F.lit("</timestamp><contributor><username>"), _plain("username"), F.lit('</username></contributor><text xml:space="preserve">'), text, F.lit("</text></revision>"))
-    return wikitext.records(wikitext.page_parts(table(spark, root, WIKI).select(page.alias("value"))))
+    # written once, as a dump is
+    return wikitext.records(wikitext.page_parts(cut(table(spark, root, WIKI).select(page.alias("value")))))
 
 
 def queries() -> dict:
