@@ -12,8 +12,6 @@ widgets, which may stand anywhere in it. A page is aligned with the template of
 * What the slot holds is the article, but for widgets. A line that looks like a head or foot node but
   stays unmatched inside the slot is article.
 
-Where two beginnings are about as good, a line that repeats the page's file name is the headline.
-
 Constant nodes come from counts over all pages: labels are counted per host, region and distinct
 path. The region of a line is taken from the varying sentences of its page: before the line above the
 first, after the last, or between.
@@ -44,8 +42,8 @@ from lexiloom.runtime import cut
 MIN_SHARE, PRIOR_PAGES = 0.033, 300
 #: Hosts from which a label is judged over all hosts; the share of its lines in the head, and of the hosts' pages, from which it is a head node.
 MIN_HOSTS, APART, RARE = 3, 0.95, 0.002
-#: Worth of a matched node, of a varying sentence and of the headline's likeness to the file name; other varying lines count by length up to LINE.
-NODE, SENTENCE, LIKENESS, LINE = 1.5, 2.0, 1.5, 0.9
+#: Worth of a matched node and of a varying sentence; other varying lines count by length up to LINE.
+NODE, SENTENCE, LINE = 1.5, 2.0, 0.9
 MOST_WORDS = 16
 
 _DIGITS = re.compile(r"\d[\d.,]*")
@@ -53,10 +51,9 @@ _PREFIX = re.compile(r"([^\s:»]+(?: [^\s:»]+){0,3}\s?[:»]) ")
 _END = re.compile(r"[.!?。！？][\"”'’」』)]?$")
 _OPEN = re.compile(r"(?:\.\.\.|\?|？|…)$")
 _PARTS = re.compile(r"[^\w#]+")
-_WORD = re.compile(r"\w+")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿]")
 
-PAGE = "page_id bigint, host string, path bigint, line_no array<int>, label array<bigint>, prefix array<bigint>, sentence array<boolean>, size array<int>, alike array<boolean>, words array<array<bigint>>"
+PAGE = "page_id bigint, host string, path bigint, line_no array<int>, label array<bigint>, prefix array<bigint>, sentence array<boolean>, size array<int>, words array<array<bigint>>"
 
 
 def _hash(text: str) -> int:
@@ -68,19 +65,18 @@ MOST_KNOWN = 100_000
 
 
 def _line(s: str) -> tuple:
-    """(label, prefix, sentence, size, words for likeness, hashes of words) of a line; constant lines come again and again."""
+    """(label, prefix, sentence, size, hashes of words) of a line; constant lines come again and again."""
     found = _KNOWN.get(s)
     if found is None:
         label = _DIGITS.sub("#", s)
         prefix = _PREFIX.match(label)
         sentence = bool(_END.search(s[-2:])) and not _OPEN.search(s[-3:]) and (s.count(" ") >= 3 or len(_WIDE.findall(s)) >= 10)
-        names, hashes = [], []
+        hashes = []
         if not sentence:
             parts = [p for p in _PARTS.split(label) if p]
-            if len(parts) <= MOST_WORDS:
-                names = _WORD.findall(s.lower().replace("_", " "))
-                hashes = [_hash(p) for p in parts] if len(parts) > 1 else []
-        found = (_hash(label), _hash("\0" + prefix.group(1)) if prefix else 0, sentence, len(s), names, hashes)
+            if 1 < len(parts) <= MOST_WORDS:
+                hashes = [_hash(p) for p in parts]
+        found = (_hash(label), _hash("\0" + prefix.group(1)) if prefix else 0, sentence, len(s), hashes)
         if not sentence:
             if len(_KNOWN) >= MOST_KNOWN:
                 _KNOWN.clear()
@@ -88,17 +84,11 @@ def _line(s: str) -> tuple:
     return found
 
 
-def lines_of(text: str, stem: str) -> list[tuple]:
-    """(line_no, label, prefix, sentence, size, alike, words) of the non-blank lines of a text."""
-    name = set(_WORD.findall(stem.lower().replace("_", " ")))
+def lines_of(text: str) -> list[tuple]:
+    """(line_no, label, prefix, sentence, size, words) of the non-blank lines of a text."""
     text = text.replace("\u200b", " ").replace("\ufeff", " ")
-    out = []
-    for i, raw in enumerate(text.split("\n")):
-        s = " ".join(raw.split())
-        if s:
-            label, prefix, sentence, size, names, hashes = _line(s)
-            out.append((i + 1, label, prefix, sentence, size, bool(names) and bool(name) and sum(w in name for w in names) >= 0.6 * len(names), hashes))
-    return out
+    lines = ((i, " ".join(raw.split())) for i, raw in enumerate(text.split("\n"), 1))
+    return [(i, *_line(s)) for i, s in lines if s]
 
 
 def _read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,8 +96,8 @@ def _read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for whole in batches:
         for lo in range(0, len(whole), 1000):
             rows = []
-            for key, host, path, stem, text in whole.iloc[lo:lo + 1000][["page_id", "host", "path", "stem", "text"]].itertuples(index=False):
-                found = lines_of(text, stem or "")
+            for key, host, path, text in whole.iloc[lo:lo + 1000][["page_id", "host", "path", "text"]].itertuples(index=False):
+                found = lines_of(text)
                 if found:
                     rows.append((key, host, _hash(path) if path else key, *map(list, zip(*found))))
             yield pd.DataFrame(rows, columns=names)
@@ -117,8 +107,7 @@ def page_lines(df: DataFrame) -> DataFrame:
     """The pages (page_id, path, domain, text) as trees of hashes, without pages that have no line."""
     site = F.regexp_replace(F.col("path"), r"^.*?data-extracted/", "")
     host = F.coalesce(site_key(F.split_part("path", F.lit("/"), F.lit(-2))), site_key(F.col("domain")), site_key(F.split_part(site, F.lit("/"), F.lit(1))), F.lit(""))
-    stem = F.regexp_replace(F.element_at(F.split(F.coalesce("path", F.lit("")), "/"), -1), r"\.[a-z]+$", "")
-    return df.where(F.col("text").rlike(r"\S")).select("page_id", host.alias("host"), "path", stem.alias("stem"), "text").mapInPandas(_read, PAGE)
+    return df.where(F.col("text").rlike(r"\S")).select("page_id", host.alias("host"), "path", "text").mapInPandas(_read, PAGE)
 
 
 def with_varying(pages: DataFrame) -> DataFrame:
@@ -135,11 +124,11 @@ def with_varying(pages: DataFrame) -> DataFrame:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, nodes): the constant nodes of each host, from the trees of its pages; of a node: place, label, words and whether it belongs to head, foot or slot."""
     sizes = pages.groupBy("host").agg(F.countDistinct("path").alias("pages"))
-    x = pages.select("host", "path", "label", "prefix", "words", "alike", F.col("varying").alias("v")).where(F.array_contains("v", True))
+    x = pages.select("host", "path", "label", "prefix", "words", F.col("varying").alias("v")).where(F.array_contains("v", True))
     x = x.withColumns({"first": F.array_position("v", True) - 1, "last": F.size("v") - F.array_position(F.reverse("v"), True), "n": F.size("v")})
 
     def region(i: Column) -> Column:
-        return F.when((i < F.col("first") - 1) & ~F.get("alike", i), "head").when(i > F.col("last"), "foot").when(i >= F.col("first"), "slot")
+        return F.when(i < F.col("first") - 1, "head").when(i > F.col("last"), "foot").when(i >= F.col("first"), "slot")
 
     def node(label: Column, i: Column) -> Column:
         # varying sentences are no constant nodes: they are left out before the shuffle
@@ -229,7 +218,7 @@ def frame(page: dict, template: Template) -> list[int]:
     best_h, at, best, cut_at = -1.0, 0, -1.0, (n, n)
     for t in range(n + 1):
         if t < n or n == 0:
-            gain = NODE * before[t] - total[t] + (LIKENESS if t < n and page["alike"][t] and not heads[t] else 0.0)
+            gain = NODE * before[t] - total[t]
             if gain > best_h + 1e-9 or t == 0:
                 best_h, at = gain, t
         value = best_h + total[t] + NODE * behind[t] + listed[t]

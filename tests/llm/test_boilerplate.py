@@ -78,19 +78,19 @@ def test_constant_nodes_of_the_same_hosts_at_two_sizes(spark):
         df = spark.createDataFrame(rows, "page_id bigint, path string, domain string, text string")
         got = {(r.page_id, r.line_no) for r in frame_lines(df).collect()}
         assert not remarks & got and widgets <= got
-        label = lines_of("Our cookies stay small, fine", "")[0][1]
+        label = lines_of("Our cookies stay small, fine")[0][1]
         nodes = templates(with_varying(page_lines(df))).collect()
         assert len(nodes) == 6 and all(any(x.label == label and x.region == "head" for x in r.nodes) for r in nodes)
 
 
-def _page(text, stem=""):
-    found = list(map(list, zip(*lines_of(text, stem))))
-    return dict(zip(("line_no", "label", "prefix", "varying", "size", "alike", "words"), found))
+def _page(text):
+    found = list(map(list, zip(*lines_of(text))))
+    return dict(zip(("line_no", "label", "prefix", "varying", "size", "words"), found))
 
 
 def _node(text, region):
-    x = lines_of(text, "")[0]
-    return {"label": x[1], "region": region, "words": x[6] if region == "head" else None}
+    x = lines_of(text)[0]
+    return {"label": x[1], "region": region, "words": x[5] if region == "head" else None}
 
 
 TREE = [_node(t, r) for t, r in (("Menu", "head"), ("Home » Shop » Cast » News", "head"), ("Cast", "head"), ("Tags", "foot"), ("Recent posts", "foot"), ("(c) One 2020", "foot"), ("Photo gallery (3 images)", "slot"))]
@@ -104,7 +104,7 @@ def test_alignment_decides_by_place():
 
 def test_pages_without_article_are_frame():
     assert frame(_page("Menu\nHome » Shop » Cast\nTags\nRecent posts\nA title – Ep. 3\n(c) One 2021"), Template(TREE)) == [1, 2, 3, 4, 5, 6]
-    assert frame(_page("Menu\nA short title\nThen, moth.\nRecent posts\nAnother one\n(c) One 2021", "one_a_short_title_3"), Template(TREE)) == [1, 4, 5, 6]
+    assert frame(_page("Menu\nA short title\nThen, moth.\nRecent posts\nAnother one\n(c) One 2021"), Template(TREE)) == [1, 4, 5, 6]
 
 
 def test_without_matching_the_result_breaks(monkeypatch):
