@@ -1,9 +1,10 @@
 """Quantities written in different units and scales, converted to common units.
 
-Method, pure SQL: regular expressions take out number, scale and unit text; aliases become units by
-constant maps in the row (not by the joins with alias tables that the dealt method has); unit text,
-sign and source default are coalesced; factor and rate are applied in decimal arithmetic. All steps
-are Spark SQL over the input, without shuffles.
+Method, pure SQL: regular expressions take out number, scale and unit text; aliases of currencies and
+scales become codes and powers by joins with alias tables; unit text, sign and source default are
+coalesced; factor and rate are applied in decimal arithmetic. A duration has any number of parts in one
+row, so its unit aliases are looked up in a constant map instead. All steps are Spark SQL over the
+input; the alias tables are constants and broadcast, nothing else moves.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ _TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 
 
 def _lookup(values: dict[str, object], key: Column, kind: str) -> Column:
-    """Alias to unit: a constant map, the in-row form of a join with a tiny alias table."""
+    """Alias to unit inside an array: a constant map, the in-row form of a join with an alias table."""
     pairs = [x for k, v in values.items() for x in (F.lit(k), F.lit(v).cast(kind))]
     return F.try_element_at(F.create_map(*pairs), key)
 
@@ -102,16 +103,16 @@ def budgets(df: DataFrame, key: str, field: str, rates: DataFrame, default: str
     x = x.withColumn("t", F.concat(F.lit(" "), F.col("t"))).select(key, "per", bare.alias("bare"), *[c.alias(f"g{i + 1}") for i, c in enumerate(g)])
     x = x.where("g2 <> ''")
 
-    def power(text: Column, scale: Column) -> Column:
-        e = F.regexp_extract(text, r"e(\d+)$", 1).try_cast("int")
-        return F.coalesce(e, _lookup(SCALES, F.regexp_replace(scale, r"[\s.]", ""), "int"))
-
-    cur = F.lit(None).cast("string")
+    # aliases meet their tables in joins; the tables are constants, so they are broadcast
+    aliases, scales = (df.sparkSession.createDataFrame(sorted(t.items()), f"alias string, value {kind}") for t, kind in ((CURRENCY_ALIASES, "string"), (SCALES, "int")))
     for name in ("g1", "g4", "g5", "g8"):
-        cur = F.coalesce(cur, F.when(F.col(name) != "", _lookup(CURRENCY_ALIASES, F.col(name), "string")))
-    cur = F.coalesce(cur, F.when(F.concat("g3", "g7").rlike("억|조"), F.lit("KRW")), F.when(F.col("bare"), F.lit(default).cast("string")))
+        x = x.join(F.broadcast(aliases.select(F.col("alias").alias(name), F.col("value").alias(f"cur_{name}"))), name, "left")
+    for number, name in (("g2", "g3"), ("g6", "g7")):
+        x = x.withColumn(f"key_{name}", F.regexp_replace(name, r"[\s.]", "")).join(F.broadcast(scales.select(F.col("alias").alias(f"key_{name}"), F.col("value").alias(f"scale_{name}"))), f"key_{name}", "left")
+    power = lambda number, scale: F.coalesce(F.regexp_extract(number, r"e(\d+)$", 1).try_cast("int"), F.col(f"scale_{scale}"))
+    cur = F.coalesce(*[F.col(f"cur_{name}") for name in ("g1", "g4", "g5", "g8")], F.when(F.concat("g3", "g7").rlike("억|조"), F.lit("KRW")), F.when(F.col("bare"), F.lit(default).cast("string")))
     low, high = _number(F.regexp_replace("g2", r"e\d+$", "")), _number(F.regexp_replace("g6", r"e\d+$", ""))
-    p2, p6 = power(F.col("g2"), F.col("g3")), power(F.col("g6"), F.col("g7"))
+    p2, p6 = power("g2", "g3"), power("g6", "g7")
     x = x.select(key, "per", cur.alias("cur"), low.alias("low"), high.alias("high"),
                  F.coalesce(p2, F.when(F.col("g6") != "", p6), F.lit(0)).alias("p2"), F.coalesce(p6, p2, F.lit(0)).alias("p6")).join(rate, "cur")
     scaled = lambda n, p: F.concat(n.cast("string"), F.lit("e"), F.col(p).cast("string")).try_cast("decimal(27,6)")

@@ -430,14 +430,16 @@ def wiki_records(spark, root):
 
 
 @query()
-def wiki_clean(spark, root):
+def wiki_clean_fields(spark, root):
+    """Whole fields with markup, cleaned."""
     fields = ("alt_name", "starring", "budget", "runtime", "genre", "first_aired", "last_aired", "synopsis")
     x = table(spark, root, WIKI).select("rec_id", F.transform(F.array(*fields), wikitext.clean_value).alias("values"))
     return x.select("rec_id", *[F.get("values", i).alias(c) for i, c in enumerate(fields)])
 
 
 @query()
-def decode_entities(spark, root):
+def decode_entities_fields(spark, root):
+    """Whole fields with all HTML 5 references decoded."""
     return table(spark, root, WIKI).select("rec_id", decode_udf(F.col("alt_name")).alias("alt_name"), decode_udf(F.col("synopsis")).alias("synopsis"))
 
 
