@@ -80,9 +80,12 @@ UNWRAP = [
 
 
 def strip_inline_markup(col: Column) -> Column:
-    """Remove footnotes and comments and unwrap links and emphasis; lists and line breaks stay."""
-    for pattern in FOOTNOTES:
-        col = F.regexp_replace(col, pattern, "")
-    for pattern, to in UNWRAP:
-        col = F.regexp_replace(col, pattern, to)
-    return col
+    """Remove footnotes and comments and unwrap links and emphasis; lists and line breaks stay. Texts without any of their signs skip the rules."""
+    def stripped(v: Column) -> Column:
+        for pattern in FOOTNOTES:
+            v = F.regexp_replace(v, pattern, "")
+        for pattern, to in UNWRAP:
+            v = F.regexp_replace(v, pattern, to)
+        return v
+
+    return let(col, lambda v: F.when(v.rlike(r"[<{\\\[*_~`]|''"), stripped(v)).otherwise(v))
