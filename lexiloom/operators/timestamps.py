@@ -93,12 +93,14 @@ def zone_intervals(zones: DataFrame) -> DataFrame:
     return rows.groupBy("zone", "year").agg(F.array_sort(F.collect_list(F.struct("a", "b", "off"))).alias("spans"))
 
 
-def _template(col: Column) -> Column:
-    """``{{start date|2020|4|26|df=y}}`` becomes ``2020-4-26`` (named parameters are skipped)."""
-    inner = F.regexp_extract(col, r"(?i)\{\{\s*(?:start|end|film|release|launch)?[ -]?(?:date|dts)[^|{}]*\|([^{}]*)\}\}", 1)
+DATE_TEMPLATE = r"(?i)\{\{\s*(?:start|end|film|release|launch)?[ -]?(?:date|dts)[^|{}]*\|([^{}]*)\}\}"
+
+
+def _template(inner: Column, text: Column) -> Column:
+    """``{{start date|2020|4|26|df=y}}``, inside ``2020|4|26|df=y``, becomes ``2020-4-26`` (named parameters are skipped); without a template the text stays."""
     parts = F.filter(F.split(inner, r"\s*\|\s*"), lambda p: p.rlike(r"^\d{1,4}$"))
     parts = F.slice(parts, 1, 3)
-    return F.when(inner != "", F.array_join(parts, "-")).otherwise(col)
+    return F.when(inner != "", F.array_join(parts, "-")).otherwise(text)
 
 
 def _groups(col: Column, pattern: str, n: int, order: str | None = None) -> Column:
@@ -131,7 +133,9 @@ def parse(df: DataFrame) -> DataFrame:
     t = decode_char_refs(F.col("text"))
     for pattern in FOOTNOTES:
         t = F.regexp_replace(t, pattern, "")
-    x = df.withColumn("_t", _template(t))
+    x = df.withColumn("_t", t)
+    x = x.withColumn("_inner", F.regexp_extract("_t", DATE_TEMPLATE, 1))
+    x = x.withColumn("_t", _template(F.col("_inner"), F.col("_t")))
     x = x.withColumn("_t", F.lower(squeeze(F.regexp_replace("_t", r"\((?![^)]*(?i:utc|gmt|[a-z]{2,4}t\)))[^)]*\)|\[[^\]]*\]|'{2,}|<[^>]*>", " "))))
     t = F.col("_t")
     x = x.withColumn("_c", F.when(t.rlike(r"^\d+$"), None).when(t.rlike(COMPACT), _groups(t, COMPACT, 7, "$1-$2-$3||$4|$5|$6||$7"))
@@ -149,7 +153,7 @@ def parse(df: DataFrame) -> DataFrame:
     return x.withColumn("_p", F.struct(
         num(f(0)).alias("y"), month.alias("mo"), num(f(2)).alias("d"), num(f(3)).alias("n1"), num(f(4)).alias("n2"),
         num(c(2)).alias("hh"), num(c(3)).alias("mi"), F.when(c(2).isNotNull(), F.coalesce(num(c(4)), F.lit(0))).alias("ss"),
-        F.regexp_replace(F.concat(c(5), c(1)), r"[.\s]", "").alias("ap"), F.nullif(c(6), F.lit("")).alias("zone"), epoch.alias("epoch"))).drop("_t", "_c", "_day", "_f")
+        F.regexp_replace(F.concat(c(5), c(1)), r"[.\s]", "").alias("ap"), F.nullif(c(6), F.lit("")).alias("zone"), epoch.alias("epoch"))).drop("_t", "_inner", "_c", "_day", "_f")
 
 
 def normalise(df: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -187,7 +191,10 @@ def normalise(df: DataFrame, intervals: DataFrame) -> DataFrame:
     need = F.col("_local").isNotNull() & F.col("_p.zone").isNull()
     x = x.withColumn("_zone", F.when(need, F.col("zone"))).withColumn("_year", F.when(need, _calendar_year(F.year("_date"))))
     ahead = F.when(F.year("_date") > YEARS[1], F.datediff(F.make_date(F.year("_date"), F.lit(1), F.lit(1)), F.make_date("_year", F.lit(1), F.lit(1))).cast("bigint") * 86400).otherwise(0)
-    x = x.withColumn("_at", F.col("_local") - ahead)
+    # Spark follows the keys of a join back to the scans and copies each step's column wherever the next step names it: most of the driver's memory
+    # for keys made in many steps. It follows none through a generator, here of one row.
+    x = x.withColumn("_keys", F.struct("_zone", "_year", (F.col("_local") - ahead).alias("_at"))).drop("_zone", "_year")
+    x = x.select("*", F.inline(F.array("_keys"))).drop("_keys")
     spans = intervals.select(F.col("zone").alias("_zone"), F.col("year").alias("_year"), "spans")
     x = x.join(spans, ["_zone", "_year"], "left")
     inside = F.transform(F.filter("spans", lambda s: (s["a"] <= F.col("_at")) & (F.col("_at") < s["b"])), lambda s: s["off"])

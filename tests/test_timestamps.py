@@ -52,3 +52,16 @@ def test_years_of_any_distance(spark):
     got = {r.row_id: r.norm for r in normalise(df, zone_intervals(df.select("zone").distinct())).collect()}
     utc = lambda r: r[3].replace(tzinfo=ZoneInfo(r[1])).astimezone(timezone.utc)
     assert got == {i: f"{utc(r).year:04d}" + utc(r).strftime("-%m-%dT%H:%M:%SZ") for i, r in enumerate(rows)}
+
+
+def test_planning_takes_little_of_the_driver(spark):
+    df = spark.createDataFrame([("2020-03-08 02:30", NY, "mdy", "2020-03-08T07:30:00Z")], "text string, zone string, date_order string, want string")
+    plan = normalise(df, zone_intervals(df.select("zone")))
+    jvm = spark.sparkContext._jvm
+    threads = jvm.java.lang.management.ManagementFactory.getThreadMXBean()
+    allocated = next(m for m in jvm.java.lang.Class.forName("com.sun.management.ThreadMXBean").getMethods() if m.getName() == "getCurrentThreadAllocatedBytes")
+    none = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 0)
+    before = allocated.invoke(threads, none)
+    plan._jdf.queryExecution().executedPlan()
+    assert allocated.invoke(threads, none) - before < 1e9
+    assert [r.norm == r.want for r in plan.collect()] == [True]
