@@ -296,9 +296,8 @@ _BEST = f"WITH {_PAGES}, {_NAMES}, {_TAG}, {_grams('titles', 'bytitle')}, {_gram
 
 @query(f"{_BEST} SELECT * FROM best")
 def link_best_match(spark, root):
-    p, titles, alts = _names(spark, root)
-    both = linking.match_phrase(p, titles).withColumn("match_type", F.lit("title")).unionByName(linking.match_phrase(p, alts).withColumn("match_type", F.lit("alt")))
-    return linking.best_per_title(both.distinct()).select("match_type", "url", "title_clean", "wiki_id", "name")
+    p, titles, alts = linking.page_keys(table(spark, root, "entities")), *linking.prepare_names(table(spark, root, WIKI))
+    return linking.best_phrases(p, titles, alts)
 
 
 @query(f"{_BEST} SELECT match_type, url, title_clean, wiki_id, name FROM (SELECT *, row_number() OVER (PARTITION BY title_clean, name ORDER BY kind, wiki_id, url) AS n FROM (SELECT * FROM best UNION ALL SELECT 'tag', * FROM bytag) JOIN kinds USING (match_type)) WHERE n = 1")
