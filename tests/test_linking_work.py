@@ -49,3 +49,7 @@ def check(spark, root, name, metric):
 def test_full(spark, hello):
     got = check(spark, hello, "link_full", "numOutputRows")
     assert {r.match_type for r in got} == {"title", "alt", "tag"} and {r.wiki_id for r in got if r.match_type == "alt"} == {"w0002"}
+
+
+def test_report(spark, hello):
+    check(spark, hello, "link_report", "numOutputRows")
