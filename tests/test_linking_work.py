@@ -53,3 +53,8 @@ def test_full(spark, hello):
 
 def test_report(spark, hello):
     check(spark, hello, "link_report", "numOutputRows")
+
+
+def test_best_match(spark, hello):
+    got = check(spark, hello, "link_best_match", "numOutputRows")
+    assert len(got) == 100
