@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiloom.runtime import cut
+
 
 def words(text: Column) -> Column:
     """Words of a text in lower case, parted by blanks only; none for null."""
@@ -88,16 +90,37 @@ def search_batch(docs: DataFrame, queries: DataFrame, idf: str = "idf_log", k: i
     return score.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 
 
+def _field_words(f: str, exact: tuple[str, ...]) -> Column:
+    text = F.coalesce(F.col(f), F.lit(""))
+    return F.array(text) if f in exact else F.split(F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " ")), " ")
+
+
 def field_terms(records: DataFrame, key: str, fields: tuple[str, ...], exact: tuple[str, ...] = ()) -> DataFrame:
     """(key, field, term, n, len): terms of analysed fields and whole values of exact ones."""
-    def terms(f: str) -> Column:
-        text = F.coalesce(F.col(f), F.lit(""))
-        return F.array(text) if f in exact else F.split(F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " ")), " ")
-
-    long = records.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.filter(terms(f), lambda w: w != "").alias("terms")) for f in (*fields, *exact)])).alias("x"))
+    long = records.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.filter(_field_words(f, exact), lambda w: w != "").alias("terms")) for f in (*fields, *exact)])).alias("x"))
     return long.select(key, F.col("x.field").alias("field"), F.size("x.terms").alias("len"), F.explode("x.terms").alias("term")).groupBy(key, "field", "term", "len").agg(F.count("*").alias("n"))
 
 
+def field_parts(fields: tuple[str, ...], exact: tuple[str, ...] = (), query: tuple[str, ...] = ()) -> Column:
+    """Array of (field, len, asked) over the fields with terms: their number, and the terms the query asks for as often as they occur."""
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.filter(_field_words(f, exact), lambda w: w != "").alias("terms")) for f in (*fields, *exact)])
+    asked = lambda terms: F.filter(terms, lambda w: w.isin(*set(query))) if query else F.array().cast("array<string>")
+    return F.filter(F.transform(each, lambda x: F.struct(x["field"].alias("field"), F.size(x["terms"]).alias("len"), asked(x["terms"]).alias("asked"))), lambda x: x["len"] > 0)
+
+
+def parts_statistics(parts: DataFrame) -> DataFrame:
+    """(field, docs, avg_len) of (key, field, len), one row for each key and field with terms."""
+    return parts.groupBy("field").agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
+
+
+def search_parts(parts: DataFrame, key: str, query: list[str], k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``search_fields`` over (key, field, len, asked) of ``field_parts``, one row for each key and field; terms that no query asks for are never written out."""
+    x = cut(parts)
+    asked = x.sparkSession.createDataFrame([(t, query.count(t)) for t in sorted(set(query))], "term string, times int")
+    hit = x.select(key, "field", "len", F.explode("asked").alias("term")).groupBy(key, "field", "term", "len").agg(F.count("*").alias("n"))
+    return _bm25(hit.join(F.broadcast(asked), "term"), parts_statistics(x), key, k, k1, b)
+
+
 def search_fields(terms: DataFrame, key: str, query: list[str], k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Top ``k`` (key, score): sum over fields and query terms of BM25 with statistics per field."""
     spark = terms.sparkSession

@@ -317,25 +317,27 @@ _JOINED_ROWS = " UNION ALL ".join([f"SELECT link, '{f}' AS field, list_filter(st
 _JOINED_TERMS = f"{_JOINED}, rows_ AS ({_JOINED_ROWS}), terms AS (SELECT link, field, len(terms) AS len, unnest(terms) AS term FROM rows_), n AS (SELECT link, field, len, term, count(*) AS n FROM terms GROUP BY ALL), stats AS (SELECT field, count(*) AS docs, avg(len) AS avg_len FROM (SELECT DISTINCT field, link, len FROM n) GROUP BY field)"
 
 
-def _joined_terms(spark, root):
+def _joined_fields(spark, root, query=()):
+    """(link, field, len, asked) of linked rows: a page's and a record's terms are counted once, before the join repeats them."""
     first = lambda *order: F.row_number().over(Window.partitionBy(*order[0]).orderBy(*order[1:]))
     page = table(spark, root, "entities").select("entity_id", F.coalesce("url", F.lit("")).alias("url"), N.page_title(F.coalesce("title", F.lit(""))).alias("title_clean"), "title", F.array_join("tags", "|").alias("tags"))
-    page = page.withColumn("_n", first(("url", "title_clean"), "entity_id")).where("_n = 1").select("url", "title_clean", "title", "tags")
+    page = page.withColumn("_n", first(("url", "title_clean"), "entity_id")).where("_n = 1").select("url", "title_clean", index.field_parts(("title", "tags"), (), query).alias("page_parts"))
     rec = table(spark, root, WIKI).withColumn("_n", first(("wiki_id",), F.desc_nulls_last("timestamp"), F.desc("rec_id"))).where("_n = 1").withColumnRenamed("title", "wiki_title")
     rec = rec.withColumns({f"{c}_year": F.coalesce(N.first_year(F.col(c)), F.lit("")) for c in ("first_aired", "last_aired")})
-    x = link_full(spark, root).join(page, ["url", "title_clean"]).join(rec, "wiki_id").withColumn("link", F.concat_ws("\t", "title_clean", "name"))
-    return index.field_terms(x, "link", JOINED, JOINED_EXACT)
+    rec = rec.select("wiki_id", index.field_parts(tuple(c for c in JOINED if c not in ("title", "tags")), JOINED_EXACT, query).alias("rec_parts"))
+    x = link_full(spark, root).join(page, ["url", "title_clean"]).join(rec, "wiki_id")
+    return x.select(F.concat_ws("\t", "title_clean", "name").alias("link"), F.inline(F.concat("page_parts", "rec_parts")))
 
 
 @query(f"WITH {_JOINED_TERMS}, asked(term) AS (VALUES {', '.join(f'({chr(39)}{t}{chr(39)})' for t in FIELD_QUERY)}), hit AS (SELECT n.* FROM n JOIN asked USING (term) WHERE field NOT LIKE '%_year'), df AS (SELECT field, term, count(*) AS df FROM hit GROUP BY ALL) SELECT link, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * n / (n + 1.2 * (1 - 0.75 + 0.75 * len / avg_len))), 6) AS score FROM hit JOIN df USING (field, term) JOIN stats USING (field) GROUP BY link ORDER BY score DESC, link LIMIT 10")
 def bm25_joined(spark, root):
-    return index.search_fields(_joined_terms(spark, root).where(~F.col("field").endswith("_year")), "link", FIELD_QUERY)
+    x = _joined_fields(spark, root, tuple(FIELD_QUERY)).where(~F.col("field").endswith("_year"))
+    return index.search_parts(x, "link", FIELD_QUERY)
 
 
 @query(f"WITH {_JOINED_TERMS} SELECT field, docs, round(avg_len, 6) AS avg_len FROM stats")
 def joined_field_statistics(spark, root):
-    t = _joined_terms(spark, root)
-    return t.groupBy("field", "link", "len").agg(F.lit(1)).groupBy("field").agg(F.count("*").alias("docs"), F.round(F.avg("len"), 6).alias("avg_len"))
+    return index.parts_statistics(_joined_fields(spark, root)).select("field", "docs", F.round("avg_len", 6).alias("avg_len"))
 
 
 #: All attributes but names, network, language and country: a record with none of them says nothing.

@@ -58,3 +58,7 @@ def test_report(spark, hello):
 def test_best_match(spark, hello):
     got = check(spark, hello, "link_best_match", "numOutputRows")
     assert len(got) == 100
+
+
+def test_joined_statistics(spark, hello):
+    check(spark, hello, "joined_field_statistics", "numOutputRows")
