@@ -62,3 +62,12 @@ def test_best_match(spark, hello):
 
 def test_joined_statistics(spark, hello):
     check(spark, hello, "joined_field_statistics", "numOutputRows")
+
+
+def test_joined_search(spark, hello):
+    got = check(spark, hello, "bm25_joined", "numOutputRows")
+    assert len(got) == 10
+    parts = reference._joined_fields(spark, hello, ("korean", "korean", "nothing"))
+    terms = {(r.field, r.len, tuple(r.asked)) for r in parts.collect() if r.field in ("language", "title")}
+    assert terms == {("language", 1, ("korean",)), ("title", 3, ())}
+    assert most(parts._jdf.queryExecution().executedPlan(), "numOutputRows") < N * N / 3
