@@ -71,3 +71,7 @@ def test_joined_search(spark, hello):
     terms = {(r.field, r.len, tuple(r.asked)) for r in parts.collect() if r.field in ("language", "title")}
     assert terms == {("language", 1, ("korean",)), ("title", 3, ())}
     assert most(parts._jdf.queryExecution().executedPlan(), "numOutputRows") < N * N / 3
+
+
+def test_output(spark, hello):
+    check(spark, hello, "link_output", "numOutputRows")
