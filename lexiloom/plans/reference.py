@@ -287,7 +287,7 @@ def link_by_title(spark, root):
 @query(f"WITH {_PAGES}, {_NAMES}, {_grams('alts', 'byalt')} SELECT * FROM byalt")
 def link_by_alt(spark, root):
     p, _, alts = _names(spark, root)
-    return linking.match_phrase(p, alts).distinct()
+    return linking.match_phrase(p.select("url", "title_clean").distinct(), alts)
 
 
 _KINDS = "kinds(match_type, kind) AS (VALUES ('title', 0), ('alt', 1), ('tag', 2))"

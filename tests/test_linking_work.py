@@ -46,6 +46,11 @@ def check(spark, root, name, metric):
     return got
 
 
+def test_best_match(spark, hello):
+    got = check(spark, hello, "link_best_match", "numOutputRows")
+    assert len(got) == 100
+
+
 def test_full(spark, hello):
     got = check(spark, hello, "link_full", "numOutputRows")
     assert {r.match_type for r in got} == {"title", "alt", "tag"} and {r.wiki_id for r in got if r.match_type == "alt"} == {"w0002"}
@@ -55,9 +60,16 @@ def test_report(spark, hello):
     check(spark, hello, "link_report", "numOutputRows")
 
 
-def test_best_match(spark, hello):
-    got = check(spark, hello, "link_best_match", "numOutputRows")
-    assert len(got) == 100
+def test_output(spark, hello):
+    check(spark, hello, "link_output", "numOutputRows")
+
+
+def test_all_pairs_are_not_shuffled(spark, hello):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert len(check(spark, hello, "link_by_alt", "shuffleRecordsWritten")) > N * N / 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_joined_statistics(spark, hello):
@@ -71,7 +83,3 @@ def test_joined_search(spark, hello):
     terms = {(r.field, r.len, tuple(r.asked)) for r in parts.collect() if r.field in ("language", "title")}
     assert terms == {("language", 1, ("korean",)), ("title", 3, ())}
     assert most(parts._jdf.queryExecution().executedPlan(), "numOutputRows") < N * N / 3
-
-
-def test_output(spark, hello):
-    check(spark, hello, "link_output", "numOutputRows")
